@@ -169,8 +169,8 @@ def dbscan(features: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5
     # clusters are numbered from the largest; their number is small against the rows
     sizes = assigned.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
     numbered = sizes.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).select("root", "cluster")
-    labelled = assigned.join(numbered, "root").select("id", "cluster")
-    return (features.join(labelled, features[key] == labelled["id"], "left").drop("id")
+    labelled = assigned.join(numbered, "root").select(F.col("id").alias(key), "cluster")
+    return (features.join(labelled, key, "left")
             .withColumn("cluster", F.coalesce("cluster", F.lit(-1))))
 
 
