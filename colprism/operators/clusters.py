@@ -12,9 +12,9 @@ from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from colprism.functions import fixed
+from colprism.operators.ordering import running_total
 from colprism.operators.sampling import sample_frame
 from colprism.session import stable
 
@@ -106,7 +106,8 @@ def euclidean_silhouette(labelled: DataFrame, label: str = "cluster", rows: int
 # are split where a box cannot decide, down to single points. Work follows the
 # number of occupied cells, not the pairs of points.
 
-ENUMERATED = 3
+# most neighbour offsets enumerated per cell
+OFFSETS = 400
 
 
 def _cell_side(eps: float, dims: int, metric: str) -> float:
@@ -138,12 +139,16 @@ def dbscan(features: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5
     ``key`` must be unique. Exact for any data; clusters are numbered by size.
     """
     x = vector_to_array("features")
+    zero_apart = metric == "cosine" and eps < 1
     if metric == "cosine":
         # on the unit sphere a cosine distance of eps is a chord of sqrt(2 eps)
         norm = F.sqrt(F.aggregate(F.transform(x, lambda v: v * v), F.lit(0.0), lambda s, v: s + v))
         x = F.transform(x, lambda v: F.when(norm > 0, v / norm).otherwise(0.0))
         eps, metric = math.sqrt(2 * eps), "euclidean"
     points = features.select(F.col(key).alias("id"), x.alias("x"))
+    if zero_apart:
+        # a zero vector has cosine distance 1 to everything, so it has no neighbours
+        points = points.where(F.exists("x", lambda v: v != 0))
     dims = len(points.select("x").first()["x"])
     side = _cell_side(eps, dims, metric)
     reach = eps if metric == "manhattan" else eps * eps
@@ -166,9 +171,9 @@ def dbscan(features: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5
     placed = core.join(groups, "cell").select("id", "root")
     border = _border(sparse.join(core_sparse.select("id"), "id", "left_anti"), core, near, groups, reach, metric)
     assigned = placed.unionAll(border)
-    # clusters are numbered from the largest; their number is small against the rows
+    # clusters are numbered from the largest
     sizes = assigned.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    numbered = sizes.withColumn("cluster", F.row_number().over(Window.orderBy(F.desc("n"), "first")) - 1).select("root", "cluster")
+    numbered = running_total(sizes, [F.desc("n"), F.asc("first")], F.lit(1), "cluster").select("root", F.col("cluster").cast("int"))
     labelled = assigned.join(numbered, "root").select(F.col("id").alias(key), "cluster")
     return (features.join(labelled, key, "left")
             .withColumn("cluster", F.coalesce("cluster", F.lit(-1))))
@@ -177,17 +182,20 @@ def dbscan(features: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5
 def _near_cells(cells: DataFrame, dims: int, reach: float, metric: str) -> DataFrame:
     """Pairs of different occupied cells whose boxes come within reach, both ways.
 
-    The leading dimensions enumerate neighbour offsets for an equi-join; the
-    boxes decide the rest.
+    Neighbour offsets are enumerated for an equi-join over as many dimensions
+    as stay cheap, the ones with the most different cells first; the boxes
+    decide the rest.
     """
-    used = min(dims, ENUMERATED)
     span = math.ceil(dims if metric == "manhattan" else math.sqrt(dims)) + 1
-    offsets = [o for o in product(range(-span, span + 1), repeat=used)]
+    used = max(1, min(dims, int(math.log(OFFSETS) / math.log(2 * span + 1))))
+    spread = cells.agg(*[F.approx_count_distinct(F.get("cell", F.lit(i))).alias(f"d{i}") for i in range(dims)]).first()
+    leading = sorted(range(dims), key=lambda i: -spread[f"d{i}"])[:used]
+    head = F.array(*[F.get("cell", F.lit(i)) for i in leading])
+    offsets = list(product(range(-span, span + 1), repeat=used))
     shifts = F.array(*[F.array(*[F.lit(v).cast("bigint") for v in o]) for o in offsets])
-    a = cells.select(F.col("cell").alias("a"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), F.explode(shifts).alias("o"))
-    a = a.withColumn("head", F.zip_with(F.slice("a", 1, used), "o", lambda p, q: p + q)).drop("o")
-    b = cells.select(F.col("cell").alias("b"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"),
-                     F.slice("cell", 1, used).alias("head"))
+    a = cells.select(F.col("cell").alias("a"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), head.alias("at"), F.explode(shifts).alias("o"))
+    a = a.withColumn("head", F.zip_with("at", "o", lambda p, q: p + q)).drop("o", "at")
+    b = cells.select(F.col("cell").alias("b"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), head.alias("head"))
     return (a.join(b, "head").where((F.col("a") != F.col("b")) & (_box_gap(metric, True) <= reach)).select("a", "b"))
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from colprism.operators.ordering import running_total
 from colprism.operators.ranks import order_values, quantiles
 from colprism.session import pin
 
@@ -120,23 +121,13 @@ def classification_metrics(table: DataFrame) -> DataFrame:
 def roc_auc(scored: DataFrame, truth: str, score: str) -> DataFrame:
     """Area under the ROC curve, ties counted half, exact.
 
-    Scores are first counted per distinct value. Running totals come from
-    per-bucket sums over equal score ranges, so no task sees more than one
-    bucket of distinct scores.
+    Scores are first counted per distinct value; a distributed running total
+    then tells how many negatives lie below each.
     """
     s = F.col(score).cast("double")
     per = scored.where(s.isNotNull()).groupBy(s.alias("s")).agg(
-        F.sum(F.when(F.col(truth) == 1, 1).otherwise(0)).alias("pos"),
-        F.sum(F.when(F.col(truth) == 1, 0).otherwise(1)).alias("neg"))
-    edges = per.agg(F.min("s").alias("lo"), F.max("s").alias("hi")).first()
-    low, span = edges["lo"] or 0.0, ((edges["hi"] or 0.0) - (edges["lo"] or 0.0)) or 1.0
-    per = per.withColumn("bucket", F.least(F.floor((F.col("s") - low) / span * 4096), F.lit(4095)))
-    # a row per bucket, at most 4,096
-    before = per.groupBy("bucket").agg(F.sum("neg").alias("n")).withColumn("before", F.coalesce(
-        F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
-    inside = Window.partitionBy("bucket").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = (per.join(F.broadcast(before), "bucket")
-              .withColumn("below", F.col("before") + F.coalesce(F.sum("neg").over(inside), F.lit(0))))
+        F.count_if(F.col(truth) == 1).alias("pos"), F.count_if(F.col(truth) != 1).alias("neg"))
+    ranked = running_total(per, [F.col("s")], F.col("neg"), "below")
     wins = F.sum((F.col("below") + F.col("neg") / 2) * F.col("pos"))
     return ranked.agg(F.try_divide(wins, F.sum("pos").cast("double") * F.sum("neg")).alias("roc_auc"))
 

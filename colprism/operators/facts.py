@@ -34,8 +34,7 @@ def tall(df: DataFrame, cells: dict[str, Column], value: str = "x") -> DataFrame
     Grouping these by ``at`` keeps the generated code the same size however
     many columns there are.
     """
-    flat = [part for i, c in enumerate(cells.values()) for part in (F.lit(i), c)]
-    return df.select(F.stack(F.lit(len(cells)), *flat).alias("at", value)).where(F.col(value).isNotNull())
+    return df.select(F.posexplode(F.array(*cells.values())).alias("at", value)).where(F.col(value).isNotNull())
 
 
 def lookup(values: list, at: str = "at") -> Column:
@@ -100,23 +99,22 @@ def distinct_counts(df: DataFrame, method: str = "exact", columns: list[str] | N
     if not fields:
         return df.sparkSession.createDataFrame([], "ordinal int, unique bigint, rarest bigint, commonest bigint")
     if method == "approx":
-        wide = df.agg(*[F.approx_count_distinct(col(f.name), 0.01).alias(f"u{i}") for i, f in fields])
-        return wide.select(F.inline(F.array(*[
-            F.struct(F.lit(i).alias("ordinal"), F.col(f"u{i}").alias("unique"),
-                     F.lit(None).cast("bigint").alias("rarest"), F.lit(None).cast("bigint").alias("commonest"))
-            for i, _ in fields])))
+        hashed = {str(i): F.when(col(f.name).isNotNull(), F.xxhash64(col(f.name))) for i, f in fields}
+        # about 0.8 % relative error from a 16 KB sketch per column and task
+        return tall(df, hashed).groupBy("at").agg(F.hll_sketch_estimate(F.hll_sketch_agg("x", 14)).alias("unique")).select(
+            lookup([i for i, _ in fields]).alias("ordinal"), "unique",
+            F.lit(None).cast("bigint").alias("rarest"), F.lit(None).cast("bigint").alias("commonest"))
 
     def short(field: T.StructField) -> bool:
         kind = field.dataType
         return not isinstance(kind, T.StringType) and not (isinstance(kind, T.DecimalType) and kind.precision > 18)
 
-    cells = F.stack(F.lit(len(fields)), *[part for i, f in fields for part in (
-        F.lit(i),
-        F.when(col(f.name).isNotNull(), F.xxhash64(col(f.name))),
-        F.lit(0).cast("bigint") if short(f) else F.xxhash64(F.lit(29), col(f.name)),
-    )])
-    tall = df.select(cells.alias("ordinal", "head", "tail")).where("head is not null")
-    values = tall.groupBy("ordinal", "head", "tail").agg(F.count(F.lit(1)).alias("n"))
+    cells = F.array(*[F.struct(
+        F.when(col(f.name).isNotNull(), F.xxhash64(col(f.name))).alias("head"),
+        (F.lit(0).cast("bigint") if short(f) else F.xxhash64(F.lit(29), col(f.name))).alias("tail")) for _, f in fields])
+    spread = (df.select(F.posexplode(cells).alias("at", "v")).select("at", "v.head", "v.tail").where("head is not null"))
+    values = (spread.groupBy("at", "head", "tail").agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("ordinal", lookup([i for i, _ in fields])))
     return values.groupBy("ordinal").agg(
         F.count(F.lit(1)).alias("unique"), F.min("n").alias("rarest"), F.max("n").alias("commonest"))
 

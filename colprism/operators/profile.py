@@ -7,6 +7,7 @@ their values enter the next scan as literals instead of through joins.
 from __future__ import annotations
 
 import math
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
 from itertools import combinations
@@ -495,37 +496,41 @@ def profile(df: DataFrame, folded: bool = False, sample_rows: int | None = None,
     """Everything about a table: a handful of scans, small tables out.
 
     Exact over the whole table by default; ``sample_rows`` bounds the rows.
+    Scans that do not need each other run side by side.
     """
     total = df.count()
     view = nan_to_null(sample_frame(df, sample_rows))
     if sample_rows:
         view = view.persist()
-    facts = column_facts(view, moments=True, distinct=distinct)
-    if sample_rows:
-        facts = facts.withColumn("sampled", F.col("rows")).withColumn("rows", F.lit(total))
-    facts = pin(with_kinds(facts, folded))
-    if sample_rows:
-        facts = facts.withColumn("rows", F.col("sampled")).drop("sampled")
-    known = {r["name"]: r for r in facts.collect()}
-    kinds = {c: known[c]["kind"] for c in view.columns}
-    of = lambda *k: [c for c in view.columns if kinds[c] in k]
-    numeric, words, temporal = of("numeric"), of("categorical", "boolean", "constant"), of("datetime")
-    stats = pin(column_stats(view, folded, distinct, facts)).orderBy("ordinal")
-    copies = duplicate_rows(view).first()
-    cells = missing_cells(facts).first()
-    ranges = {r["name"]: (r["min"], r["max"], r["unique"]) for r in stats.collect()}
-    out = Profile(
-        rows=total, sampled_rows=copies["rows"], duplicate_rows=copies["duplicate_rows"],
-        missing_cells_pct=cells["missing_cells_pct"], columns=stats, kinds=kinds)
-    if numeric:
-        out.histogram = pin(histogram(view, numeric, ranges=ranges))
-    if len(numeric) > 1:
-        out.correlations = pin(correlations(view, numeric))
-    if words:
-        out.top_values = pin(top_values(view, words))
-    if temporal:
-        out.by_month = pin(months(view, temporal))
-    out.warnings = pin(warnings(stats, total))
+    with ThreadPoolExecutor(5) as pool:
+        copies = pool.submit(lambda: duplicate_rows(view).first())
+        facts = column_facts(view, moments=True, distinct=distinct)
+        if sample_rows:
+            # kinds look at the length of the whole table, shares at the sample's
+            facts = facts.withColumn("sampled", F.col("rows")).withColumn("rows", F.lit(total))
+            facts = with_kinds(facts, folded).withColumn("rows", F.col("sampled")).drop("sampled")
+        else:
+            facts = with_kinds(facts, folded)
+        facts = pin(facts)
+        known = {r["name"]: r for r in facts.collect()}
+        kinds = {c: known[c]["kind"] for c in view.columns}
+        of = lambda *k: [c for c in view.columns if kinds[c] in k]
+        numeric, words, temporal = of("numeric"), of("categorical", "boolean", "constant"), of("datetime")
+        written = any(known[c]["physical"] == "string" for c in numeric)
+        ranges = None if written else {c: (known[c]["low"], known[c]["high"], known[c]["unique"]) for c in numeric}
+        parts = {
+            "columns": lambda: pin(column_stats(view, folded, distinct, facts).orderBy("ordinal")),
+            "histogram": lambda: pin(histogram(view, numeric, ranges=ranges)) if numeric else None,
+            "correlations": lambda: pin(correlations(view, numeric)) if len(numeric) > 1 else None,
+            "top_values": lambda: pin(top_values(view, words)) if words else None,
+            "by_month": lambda: pin(months(view, temporal)) if temporal else None,
+        }
+        running = {name: pool.submit(make) for name, make in parts.items()}
+        made = {name: future.result() for name, future in running.items()}
+        repeated = copies.result()
     if sample_rows:
         view.unpersist()
-    return out
+    return Profile(
+        rows=total, sampled_rows=repeated["rows"], duplicate_rows=repeated["duplicate_rows"],
+        missing_cells_pct=missing_cells(facts).first()["missing_cells_pct"], kinds=kinds,
+        warnings=pin(warnings(made["columns"], total)), **made)

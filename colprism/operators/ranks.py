@@ -98,7 +98,8 @@ def _gather(cells, intervals, width, found):
 
 
 def _narrow(cells, intervals, width):
-    parts = max(16, min(4096, PART_ROWS // len(intervals)))
+    fullest = max(t.inside for t in intervals)
+    parts = max(64, min(4096, PART_ROWS // len(intervals), 4 * fullest // GATHERED))
     x, low, span = F.col("x"), F.col("low"), F.col("span")
     by = {"at": "interval"}
     placed = (_located(cells, intervals, width)

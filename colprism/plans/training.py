@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import time
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
@@ -127,10 +128,12 @@ def train(df: DataFrame, plan: Plan, algorithms: list[str] | None = None, params
         dtype = {f.name: f.dataType for f in frame.schema.fields}[plan.target]
         frame = frame.withColumn("__class", cell_text(plan.target, dtype))
         # class order is by text; at most 50 classes
-        labels = sorted(r[0] for r in frame.select("__class").distinct().collect())
+        labels = sorted(r[0] for r in frame.select("__class").distinct().limit(fixed.MAX_CLASSES + 1).collect())
+        if len(labels) > fixed.MAX_CLASSES:
+            raise ValueError("column '%s' has more than %d classes" % (plan.target, fixed.MAX_CLASSES))
         frame = frame.withColumn("label", (F.array_position(F.array(*[F.lit(v) for v in labels]), F.col("__class")) - 1).cast("double"))
     # drawn numbers and row ids are written once, so that a lost executor cannot change the split
-    frame = stable(frame.withColumn(DRAW, draw(frame, SEED)).withColumn(ID, F.monotonically_increasing_id()))
+    frame = stable(frame.withColumn(DRAW, draw(SEED)).withColumn(ID, F.monotonically_increasing_id()))
     rows = frame.count()
 
     # preparations fitted so far: they depend on the rows and on scaling, not on the algorithm
@@ -200,8 +203,10 @@ def _probability(scored: DataFrame) -> DataFrame:
 
 def _threshold(name, plan, train_rows, columns, values, known) -> float | None:
     """Tuned on a slice of the training rows; the holdout is never seen."""
+    if plan.task != BINARY:
+        return None
     counts = [r["count"] for r in train_rows.groupBy("label").count().collect()]
-    if plan.task != BINARY or len(counts) != 2 or min(counts) < TUNED_CLASS_ROWS:
+    if len(counts) != 2 or min(counts) < TUNED_CLASS_ROWS:
         return None
     redrawn = train_rows.withColumn("__redraw", F.shiftrightunsigned(F.xxhash64(F.lit(1), F.col(ID)), 11) / F.lit(float(2 ** 53)))
     fit_rows, valid_rows = train_test_split(redrawn, VALIDATION, "__redraw", "label")
@@ -218,7 +223,11 @@ def _threshold(name, plan, train_rows, columns, values, known) -> float | None:
 
 def _supervise(name: str, plan: Plan, split, columns, values, labels, known) -> Result:
     train_rows, test_rows = split
-    pipeline, prepared = _fit(name, plan.task, train_rows, columns, values, known, "training")
+    with ThreadPoolExecutor(2) as pool:
+        # the model and the threshold come from separate fits, so they run side by side
+        tuned = pool.submit(_threshold, name, plan, train_rows, columns, values, known)
+        pipeline, prepared = _fit(name, plan.task, train_rows, columns, values, known, "training")
+        threshold = tuned.result()
     spark = train_rows.sparkSession
     scored = pipeline.transform(test_rows)
     result = Result(name, ok=True, pipeline=pipeline, prepared=prepared, labels=labels, holdout=test_rows)
@@ -228,7 +237,6 @@ def _supervise(name: str, plan: Plan, split, columns, values, labels, known) ->
                           for k in found}
         result.score = result.metrics["r2"]
     else:
-        threshold = _threshold(name, plan, train_rows, columns, values, known)
         kept = ["label", "prediction"]
         if plan.task == BINARY and "probability" in scored.columns:
             scored = predict_at(_probability(scored), "__score", threshold)

@@ -142,7 +142,7 @@ def replay(spark: SparkSession, path: str, df: DataFrame) -> float:
         names = F.array(*[F.lit(v) for v in manifest["labels"]])
         frame = (frame.withColumn("__class", cell_text(target, dtype))
                  .withColumn("label", (F.array_position(names, F.col("__class")) - 1).cast("double")))
-    frame = stable(frame.withColumn(DRAW, draw(frame, SEED)).withColumn(ID, F.monotonically_increasing_id()))
+    frame = stable(frame.withColumn(DRAW, draw(SEED)).withColumn(ID, F.monotonically_increasing_id()))
     _, test = train_test_split(frame, manifest["test_size"], DRAW, None if task == REGRESSION else "label")
     scored = pipeline.transform(test)
     if task == REGRESSION:
