@@ -35,7 +35,7 @@ def main() -> None:
     spark = build(f"local[{cpus}]", int(cpus) if cpus.isdigit() else 8, "bench")
     spark.sparkContext.setLogLevel("ERROR")
     lineitem = spark.read.parquet(f"{folder}/lineitem.parquet")
-    lineitem.count()
+    profile.profile(spark.read.parquet(f"{folder}/customer.parquet"), folded=True)  # warm the JVM
 
     def trained():
         orders = spark.read.parquet(f"{folder}/orders.parquet").limit(100_000)

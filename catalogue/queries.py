@@ -114,6 +114,14 @@ for _t in ("lineitem", "orders", "part", "customer", "events", "documents", "pag
 add("infer_schema_raw", on("messy", lambda df: schema.infer_schema(df).drop("dtype")), O.schema_table("messy", folded=False))
 add("column_kind", lambda s, d: schema.with_kinds(facts_of(s, d, "orders"), True).select("name", "unique", "non_null", "kind"),
     f"SELECT name, uniq AS unique, non_null, kind FROM ({O.schema('orders')})")
+for _n, _kinds in (("check_numeric", ("integer", "float")), ("check_text", ("string",))):
+    # the decision of one branch of the rules, over the columns it is for
+    add(_n, lambda s, d, k=_kinds: schema.with_kinds(facts_of(s, d, "messy"), False).where(
+        F.col("physical").isin(*k) & (F.col("unique") > 1)).select("name", "kind", "reason"),
+        f"SELECT name, kind, reason FROM ({O.schema('messy', folded=False)}) WHERE phys IN {_kinds if len(_kinds) > 1 else '(' + repr(_kinds[0]) + ')'} AND uniq > 1")
+add("infer_schema_sampled", on("lineitem", lambda df: schema.infer_schema(df, folded=True, sample_rows=50_000).select("name", "kind")),
+    f"SELECT name, kind FROM ({O.schema('lineitem')})")
+add("infer_schema_approx", on("messy", lambda df: schema.infer_schema(df, folded=True, distinct="approx").select("name", "kind")))
 add("detect_dates", lambda s, d: facts_of(s, d, "messy").where("physical = 'string'").select(
     "name", F.coalesce(schema.detect_dates(), F.lit(False)).alias("dates")),
     f"SELECT name, coalesce(plain < non_null AND dates >= 0.85 * non_null, FALSE) AS dates FROM ({O.facts('messy')}) WHERE phys = 'string'")

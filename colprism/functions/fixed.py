@@ -68,6 +68,29 @@ ALGORITHM_NAMES = {
     "isolation_forest": "Isolation forest",
 }
 
+# why an algorithm fits; {rows} and {features} are filled in
+FIT_REASONS = {
+    "classify": {
+        "gradient_boosting": "handles mixed column types and missing values, usually the strongest here",
+        "random_forest": "robust with {rows:,} rows and needs no tuning",
+        "logistic_regression": "fast, and the coefficients read as plain per-column effects",
+    },
+    "regress": {
+        "gradient_boosting": "captures non-linear effects across {features} features",
+        "random_forest": "stable baseline that ignores feature scaling",
+        "ridge": "linear baseline, tells you if the signal is simple",
+    },
+    "cluster": {
+        "kmeans": "groups rows into clusters of similar behaviour",
+        "dbscan": "finds clusters of any shape and marks leftovers as outliers",
+        "isolation_forest": "flags the rows that do not fit any pattern",
+    },
+}
+SMALL_TREE_REASON = "few rows to learn from, a single tree stays explainable"
+LARGE_TREE_REASON = "one readable tree, usually beaten by the ensembles on data this size"
+DBSCAN_ROWS = 20_000
+WIDE_FEATURES = 50
+
 # date texts that are recognised: (shape, Spark datetime pattern)
 DATE_FORMATS = [
     (r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"),

@@ -38,42 +38,49 @@ def export_results(training: Training, spark: SparkSession, path: str) -> None:
     training.leaderboard(spark).coalesce(1).write.mode("overwrite").json(path)
 
 
+def _bullets(pairs) -> list[str]:
+    return [f"- **{name}:** {text}" for name, text in pairs]
+
+
+def _algorithm(name: str) -> str:
+    return fixed.ALGORITHM_NAMES.get(name, name.replace("_", " "))
+
+
+def _board_lines(training: Training) -> list[str]:
+    table = ["| # | algorithm | score | fit time |", "| --- | --- | --- | --- |"]
+    for place, r in enumerate(training.results, start=1):
+        cells = (place, _algorithm(r.algorithm), "—" if r.score is None else f"{r.score:.4f}", f"{r.fit_seconds:.2f}s") \
+            if r.ok else ("—", _algorithm(r.algorithm), f"failed: {r.error}", "")
+        table.append("| " + " | ".join(str(c) for c in cells) + " |")
+    return table
+
+
 def training_report(name: str, plan, training: Training) -> str:
-    """A Markdown summary of a finished run."""
-    features = sum(len(plan.features[k]) for k in ("numeric", "categorical", "temporal"))
-    title = fixed.TASK_NAMES.get(training.task, training.task)
-    target = f" (target `{training.target}`)" if training.target else ""
-    lines = [
-        f"# Analysis report — {name}", "",
-        f"- **Task:** {title}{target}",
-        f"- **Why:** {plan.task_reason}",
-        f"- **Rows used:** {training.rows_used:,}{' (sampled)' if training.rows_sampled else ''}",
-        f"- **Features:** {features}",
-        f"- **Trained in:** {training.seconds:.1f}s", "",
-        f"## Leaderboard ({training.score_name})", "",
-        "| # | algorithm | score | fit time |", "| --- | --- | --- | --- |",
-    ]
-    label = lambda a: fixed.ALGORITHM_NAMES.get(a, a.replace("_", " "))
-    for i, r in enumerate(training.results):
-        score = "—" if r.score is None else f"{r.score:.4f}"
-        lines.append(f"| {i + 1} | {label(r.algorithm)} | {score} | {r.fit_seconds:.2f}s |" if r.ok
-                     else f"| — | {label(r.algorithm)} | failed: {r.error} | |")
-    tuned = [r for r in training.results if r.ok and r.params]
-    if tuned:
-        lines += ["", "## Settings used", ""]
-        for r in tuned:
-            shown = ", ".join(f"`{k}={'none' if v is None else v}`" for k, v in r.params.items())
-            lines.append(f"- **{label(r.algorithm)}:** {shown}")
-        if training.task != CLUSTERING:
-            lines.append(f"- **Held out for scoring:** {round(training.test_size * 100)}%")
+    """A Markdown summary of a finished run: facts, leaderboard, settings, drivers, notes."""
+    task = fixed.TASK_NAMES.get(training.task, training.task)
+    facts = {
+        "Task": f"{task} (target `{training.target}`)" if training.target else task,
+        "Why": plan.task_reason,
+        "Rows used": f"{training.rows_used:,}" + (" (sampled)" if training.rows_sampled else ""),
+        "Features": sum(len(columns) for role, columns in plan.features.items() if role != "dropped"),
+        "Trained in": f"{training.seconds:.1f}s",
+    }
+    settings = {
+        _algorithm(r.algorithm): ", ".join(f"`{k}={'none' if v is None else v}`" for k, v in r.params.items())
+        for r in training.results if r.ok and r.params}
+    if settings and training.task != CLUSTERING:
+        settings["Held out for scoring"] = f"{training.test_size:.0%}"
+    sections = {
+        f"# Analysis report — {name}": _bullets(facts.items()),
+        f"## Leaderboard ({training.score_name})": _board_lines(training),
+        "## Settings used": _bullets(settings.items()),
+    }
     if training.best is not None:
         drivers = training.best.importance.orderBy("rank").limit(10).collect()
-        if drivers:
-            lines += ["", f"## What drove {label(training.best.algorithm)}", ""]
-            lines += [f"- `{d['column']}` — {d['weight'] * 100:.1f}%" for d in drivers]
-    if plan.notes:
-        lines += ["", "## Notes", "", *[f"- {n}" for n in plan.notes]]
-    return "\n".join(lines) + "\n"
+        sections[f"## What drove {_algorithm(training.best.algorithm)}"] = [
+            f"- `{d['column']}` — {d['weight']:.1%}" for d in drivers]
+    sections["## Notes"] = [f"- {note}" for note in plan.notes]
+    return "\n\n".join(title + "\n\n" + "\n".join(lines) for title, lines in sections.items() if lines) + "\n"
 
 
 def write_report(spark: SparkSession, text: str, path: str) -> None:
