@@ -19,6 +19,7 @@ byte and a walk back over the tokens; decoding emits the label of every arc.
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\
 
 # tables that grow with the words seen are emptied beyond these sizes; this changes no result
 STATES = 400_000
-WORDS = 500_000
+WORDS = 400_000
 
 
 def _alphabet() -> dict[str, int]:
@@ -154,30 +155,73 @@ class Automaton:
         return tokens[::-1]
 
 
-class Encoder(dict):
-    """Words and their ids as little-endian 32-bit integers, filled as words come."""
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
-    def __init__(self, path: str):
+
+class Pieces(dict):
+    """Ids of pre-split words as little-endian 32-bit integers, filled as words come."""
+
+    def __init__(self, automaton: Automaton):
         super().__init__()
-        self.automaton = Automaton(path)
+        self.automaton = automaton
 
     def __missing__(self, word: str) -> bytes:
-        made = np.array(self.automaton.word(word.encode()), "<u4").tobytes()
+        made = packed(self.automaton.word(word.encode()))
         if len(word) < 40:
             self[word] = made
         return made
 
+
+class Chunks(dict):
+    """The same for what stands between two spaces, with the space before it.
+
+    The pre-split never joins what is on either side of a space that a character
+    other than white space follows, so such a chunk can be split on its own;
+    for any other chunk this raises KeyError.
+    """
+
+    def __init__(self, pieces: Pieces):
+        super().__init__()
+        self.pieces = pieces
+
+    def __missing__(self, chunk: str) -> bytes:
+        if not chunk or chunk[0].isspace() or chunk[0] in "\x85\xa0":
+            raise KeyError(chunk)
+        made = b"".join(map(self.pieces.__getitem__, PATTERN.findall(" " + chunk)))
+        if len(chunk) < 24:
+            self[chunk] = made
+        return made
+
+
+class Encoder:
+    """Encodes and decodes texts with one automaton and what it has seen so far."""
+
+    def __init__(self, path: str):
+        self.automaton = Automaton(path)
+        self.pieces = Pieces(self.automaton)
+        self.chunks = Chunks(self.pieces)
+
     def encode(self, text: str) -> bytes:
         cut, at, parts = self.automaton.cut, 0, []
-        for match in cut.finditer(text) if cut else ():
-            parts += map(self.__getitem__, PATTERN.findall(text, at, match.start()) if at < match.start() else ())
-            parts.append(np.array([self.automaton.special[match[0]]], "<u4").tobytes())
+        for match in cut.finditer(text) if cut and any(map(text.__contains__, self.automaton.special)) else ():
+            parts.append(self._plain(text[at:match.start()]))
+            parts.append(packed([self.automaton.special[match[0]]]))
             at = match.end()
-        parts += map(self.__getitem__, PATTERN.findall(text[at:] if at else text))
-        if len(self) > WORDS:
-            self.clear()
+        parts.append(self._plain(text[at:] if at else text))
+        for seen in (self.pieces, self.chunks):
+            if len(seen) > WORDS:
+                seen.clear()
         return b"".join(parts)
 
+    def _plain(self, text: str) -> bytes:
+        chunks = text.split(" ")
+        try:
+            rest = b"".join(map(self.chunks.__getitem__, chunks[1:]))
+        except KeyError:
+            return b"".join(map(self.pieces.__getitem__, PATTERN.findall(text)))
+        return b"".join(map(self.pieces.__getitem__, PATTERN.findall(chunks[0]))) + rest
+
     def decode(self, ids: bytes) -> str:
         labels = self.automaton.labels
         return b"".join(map(labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")

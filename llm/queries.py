@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, imatch, lmscore, mixing, quality, secrets
-from llm.common import table
+from llm import bpe, covertree, imatch, jaccard, licenses, lmscore, mixing, passages, quality, secrets
+from llm.common import shipped, table
 
 # where the public vocabulary lies on every machine
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -22,12 +22,33 @@ def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", *[F.round(c, 6).alias(c) for c in ("target_loss", "background_loss", "score")])
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "copy_of", "n_links", "n_linked_texts")
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = imatch.edited_fingerprints(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
                         "edited_fingerprint", "near_edited", "near_next")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = passages.deduplicate(table(spark, sf_dir, "documents"))
+    words = "aggregate({}, 0L, (n, s) -> n + s.end - s.start)"
+    listed = "array_join(transform({}, s -> concat_ws('-', s.start, s.end)), ',')"
+    return found.select("doc_id", "n_others", "first_id", F.size("spans").cast("long").alias("n_spans"),
+                        F.expr(words.format("spans")).alias("n_repeated_words"), F.expr(words.format("cuts")).alias("n_cut_words"),
+                        F.expr(listed.format("spans")).alias("spans"), F.expr(listed.format("cuts")).alias("cuts"))
+
+
+def op5_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    listed = "array_join(transform(matches, m -> concat_ws(':', m.license, m.start, m.end, round(m.coverage, 4))), ',')"
+    return found.select("doc_id", F.size("matches").cast("long").alias("n_matches"),
+                        F.expr("array_join(array_sort(array_distinct(transform(matches, m -> m.license))), ',')").alias("licenses"),
+                        F.expr(listed).alias("matches"))
+
+
 def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents"))
     listed = "array_join(transform({}, s -> concat_ws(':', s.kind, s.start, s.end)), ',')"
@@ -36,6 +57,10 @@ def op6_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), F.expr(listed.format("spans")).alias("spans"))
 
 
+def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return covertree.join(table(spark, sf_dir, "embeddings"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = bpe.encode(table(spark, sf_dir, "documents"), VOCABULARY, decoded=True)
     return found.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
@@ -54,8 +79,17 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def _registered(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        shipped(spark)
+        return query(spark, sf_dir)
+    return run
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lm_scoring, op3_fingerprints, op6_secret_scans, op8_bpe, op9_quality, op10_mixing)
+    f.__name__: _registered(f) for f in (
+        op1_lm_scoring, op2_jaccard_join, op3_fingerprints, op4_substring_dedup, op5_license_scans, op6_secret_scans,
+        op7_cover_tree, op8_bpe, op9_quality, op10_mixing)
 }
 
 ORACLES: dict[str, str] = {}

@@ -24,6 +24,8 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTES = np.random.default_rng(20240229).integers(1, 1 << 63, 256).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BYTES[_SPACE] = 0
+_NOT_PLAIN = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+_PLAIN_BYTES = np.where(_NOT_PLAIN, np.uint64(0), _BYTES[[b + 32 if 65 <= b <= 90 else b for b in range(256)]])
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -58,20 +60,25 @@ class Words:
     text_bounds: np.ndarray
 
 
-def slices(batch: pa.RecordBatch | pa.Table, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts a batch so that each piece has about SLICE_BYTES of text, or one row."""
+def slices(batch: pa.RecordBatch | pa.Table, column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts a batch so that each piece has about ``size`` bytes of text, or one row."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
-    piece = (np.cumsum(sizes) - sizes) // SLICE_BYTES
+    piece = (np.cumsum(sizes) - sizes) // size
     cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), batch.num_rows]
     for a, b in zip(cuts, cuts[1:]):
         if b > a:
             yield batch.slice(a, b - a)
 
 
-def words(texts: pa.Array, lower: bool = True) -> Words:
-    """Null texts count as empty."""
+def words(texts: pa.Array, lower: bool = True, plain: bool = False) -> Words:
+    """Null texts count as empty.
+
+    With ``plain`` every ASCII character but letters and digits separates words,
+    and only ASCII letters are lowered, so that byte positions are those of the text.
+    """
+    separates = _NOT_PLAIN if plain else _SPACE
     texts = pc.fill_null(texts.cast(pa.large_string()), "")
-    if lower:
+    if lower and not plain:
         texts = pc.utf8_lower(texts)
     n = len(texts)
     _, offsets, data = texts.buffers()
@@ -81,7 +88,7 @@ def words(texts: pa.Array, lower: bool = True) -> Words:
     if not len(data):
         empty = np.zeros(0, np.int64)
         return Words(empty.astype(np.uint64), empty, empty, np.zeros(n + 1, np.int64), data, offsets)
-    inside = ~_SPACE[data]
+    inside = ~separates[data]
     first = np.zeros(len(data) + 1, bool)
     first[offsets] = True
     begins = inside.copy()
@@ -90,7 +97,7 @@ def words(texts: pa.Array, lower: bool = True) -> Words:
     closes[:-1] &= ~inside[1:] | first[1:-1]
     starts, ends = np.flatnonzero(begins), np.flatnonzero(closes)
     power, inverse = _power(len(data))
-    hashes = (np.add.reduceat(_BYTES[data] * power, starts) * inverse[starts] if len(starts)
+    hashes = (np.add.reduceat((_PLAIN_BYTES if plain else _BYTES)[data] * power, starts) * inverse[starts] if len(starts)
               else np.zeros(0, np.uint64))
     return Words(mixed(hashes), starts, ends, np.searchsorted(starts, offsets), data, offsets)
 
