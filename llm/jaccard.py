@@ -5,9 +5,11 @@ min-hashes of its set: coordinate i is a shingle sampled so that two sets share
 it with a chance of their Jaccard similarity. A run starts with all classes in
 one node; a node picks ``FAN`` coordinates by its own hash and splits its
 classes by the shingles they have there. A node of one class ends, a node of at
-most ``SMALL`` classes is compared by brute force, a larger one is split again;
-nodes still large after ``DEPTH`` splits (their sets are alike throughout) are
-compared by brute force in blocks. Runs differ by their hash only.
+most ``SMALL`` classes is compared by brute force, a larger one is split again.
+A large node that got more than the share ``TIGHT`` of the node above it holds
+sets that are alike throughout, which no split parts: it is compared by brute
+force in blocks, as are nodes still large after ``DEPTH`` splits. Runs differ by
+their hash only.
 
 A pair of similarity s stays together in a run with a chance of at least the
 fixed point of q = 1 - (1 - s q)^FAN; the number of runs follows from the recall
@@ -36,6 +38,8 @@ COORDINATES = 64
 FAN = 2
 DEPTH = 4
 SMALL = 256
+TIGHT = 0.5
+BLOCK = 1024
 # min-hash agreement this many standard deviations under the threshold still makes a candidate
 SIGMAS = 4.0
 
@@ -97,7 +101,7 @@ def _children(nodes: np.ndarray, sig: np.ndarray) -> np.ndarray:
 
 
 def _split(rows: DataFrame, roots: list[int] | None = None) -> DataFrame:
-    """(cls, sig[, node]) to (cls, node of a child); without a node column every class stands in all roots."""
+    """(cls, sig[, node, members]) to (cls, node of a child, members above); without nodes every class stands in all roots."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = batch.num_rows
@@ -105,12 +109,13 @@ def _split(rows: DataFrame, roots: list[int] | None = None) -> DataFrame:
                 continue
             sig = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.uint32).reshape(n, COORDINATES)
             starts = [np.full(n, r, np.int64) for r in roots] if roots else [batch.column("node").to_numpy()]
+            above = pa.nulls(n, pa.int64()) if roots else batch.column("members")
             for nodes in starts:
                 made = _children(nodes, sig)
                 for k in range(FAN):
-                    yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(made[:, k])], ["cls", "node"])
+                    yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(made[:, k]), above], ["cls", "node", "above"])
 
-    return rows.mapInArrow(run, "cls binary, node bigint")
+    return rows.mapInArrow(run, "cls binary, node bigint, above bigint")
 
 
 def leaves(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
@@ -119,14 +124,16 @@ def leaves(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
     made, active = [], classes.select("cls", "sig")
     for level in range(DEPTH):
         placed = saved((_split(active, roots) if level == 0 else _split(active)).distinct(), "jaccard-nodes")
-        counted = placed.groupBy("node").agg(F.count("*").alias("members")).where("members > 1")
-        counted = saved(placed.join(counted, "node").select("cls", "node", "members"), "jaccard-shared")
-        large = F.lit(False) if level == DEPTH - 1 else F.col("members") > SMALL
-        made.append(counted.where(~large))
-        rest = counted.where(large)
+        counted = (placed.groupBy("node").agg(F.count("*").alias("members"), F.max("above").alias("above"))
+                   .where("members > 1"))
+        counted = saved(placed.drop("above").join(counted, "node").select("cls", "node", "members", "above"), "jaccard-shared")
+        loose = F.col("members") <= TIGHT * F.coalesce("above", F.lit(1 << 62))
+        large = F.lit(False) if level == DEPTH - 1 else (F.col("members") > SMALL) & loose
+        made.append(counted.where(~large).select("cls", "node", "members"))
+        rest = counted.where(large).select("cls", "node", "members")
         if not rest.take(1):
             break
-        active = rest.join(classes.select("cls", "sig"), "cls").select("cls", "sig", "node")
+        active = rest.join(classes.select("cls", "sig"), "cls").select("cls", "sig", "node", "members")
     out = made[0]
     for more in made[1:]:
         out = out.unionByName(more)
@@ -134,12 +141,12 @@ def leaves(classes: DataFrame, threshold: float, recall: float) -> DataFrame:
 
 
 def _cells(rows: DataFrame) -> DataFrame:
-    """Cuts nodes into blocks of about SMALL classes; (node, i, j, side) for every pair of blocks i <= j.
+    """Cuts nodes into blocks of about BLOCK classes; (node, i, j, side) for every pair of blocks i <= j.
 
     Side 0 stands in block i, side 1 in block j; a class is copied once per
     block of its node, and no pair is made a row.
     """
-    blocks = F.ceil(F.col("members") / SMALL).cast("int")
+    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("cls", "node"), blocks).cast("int")
     return (rows.withColumn("blocks", blocks).withColumn("mine", mine)
             .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
