@@ -141,7 +141,9 @@ def matches(index: Index, found: Words, coverage: float) -> list[list[tuple[str,
         a = order[k - 1]
         if k < len(order):
             b = order[k]
-            if doc[a] == doc[b] and template[a] == template[b] and (at[b] - place[b]) - (at[order[start]] - place[order[start]]) <= BAND:
+            # a place that is not further on in the template begins another occurrence
+            if (doc[a] == doc[b] and template[a] == template[b] and place[b] > place[a]
+                    and (at[b] - place[b]) - (at[order[start]] - place[order[start]]) <= BAND):
                 continue
         group = order[start:k]
         start = k

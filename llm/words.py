@@ -112,7 +112,7 @@ def shingles(found: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.uint64), outs
     spread = [mixed(h, 11 + k) for k in range(width)]
     full = np.zeros(len(h), np.uint64)
-    for k in range(width):
+    for k in range(min(width, len(h))):
         full[:len(h) - k] += spread[k][k:] * np.uint64(2 * k + 1)
     at = np.repeat(bounds[:-1] - outs[:-1], counts) + np.arange(outs[-1])
     result = full[at]
