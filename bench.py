@@ -38,7 +38,7 @@ def main() -> None:
     profile.profile(spark.read.parquet(f"{folder}/customer.parquet"), folded=True)  # warm the JVM
 
     def trained():
-        orders = spark.read.parquet(f"{folder}/orders.parquet").limit(100_000)
+        orders = spark.read.parquet(f"{folder}/orders.parquet")
         found = pin(schema.infer_schema(orders, folded=True))
         train(orders, plan(orders, found, "o_totalprice"), ["ridge", "decision_tree"])
 

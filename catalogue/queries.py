@@ -557,7 +557,7 @@ add("predict_at", lambda s, d: evaluate.predict_at(scored(s, d), "score", 120.0)
 def _split(spark, d):
     """Rows per class and side of a stratified split: sides differ by a row at most."""
     df = table(spark, d, "orders")
-    drawn = stable(df.withColumn("u", sampling.draw()).select("o_orderpriority", "u"))
+    drawn = stable(sampling.with_draw(df, "u").select("o_orderpriority", "u"))
     train, test = evaluate.train_test_split(drawn, 0.2, "u", "o_orderpriority")
     sizes = lambda part, side: part.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("rows")).withColumn("side", F.lit(side))
     return sizes(train, "train").unionByName(sizes(test, "test"))

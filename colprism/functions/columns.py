@@ -73,7 +73,7 @@ def timestamp_of_text(c: Column) -> Column:
         F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(pattern)))
         for shape, pattern in fixed.DATE_FORMATS
     ]
-    dated = F.length(c).between(8, 48) & c.rlike(DATE_LIKE)
+    dated = c.rlike(DATE_LIKE)
     return F.when(dated, F.coalesce(*parsed))
 
 

@@ -2,20 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colprism.functions.columns import col
 from colprism.operators.ranks import order_values
+from colprism.session import stable
 
 
-def draw(seed: int = 0) -> Column:
-    """A number in [0, 1) per row, from its position in the table.
+def with_draw(df: DataFrame, out: str, seed: int = 0) -> DataFrame:
+    """Adds a number in [0, 1) per row, from the row's content and its number among equal rows.
 
-    It needs no column, so choosing rows scans no data; unlike a hash of the
-    content it tells copies of a row apart.
+    It is the same however the rows are laid out or were computed. Equal rows
+    are counted by a 128-bit hash, combined before the shuffle; one of them is
+    kept and written out as often as it stood there, so a row that fills much
+    of the table is no hot group.
     """
-    bits = F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
-    return F.shiftrightunsigned(bits, 11).cast("double") / F.lit(float(2 ** 53))
+    content = [x for c in sorted(df.columns) for x in (col(c).isNull(), col(c))]
+    keys = ["__content", "__content_2"]
+    coded = df.withColumns({k: F.xxhash64(F.lit(i), *content) for i, k in enumerate(keys)})
+    repeated = coded.groupBy(*keys).agg(F.count(F.lit(1)).alias("__times")).where("__times > 1")
+    found = coded.join(repeated, keys, "left")
+    alone = found.where("__times is null").withColumn("__copy", F.lit(0).cast("long"))
+    again = found.where("__times is not null").dropDuplicates(keys).withColumn(
+        "__copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__times") - 1)))
+    bits = F.xxhash64(F.lit(seed), *keys, "__copy")
+    number = F.shiftrightunsigned(bits, 11).cast("double") / F.lit(float(2 ** 53))
+    return alone.unionByName(again).withColumn(out, number).drop(*keys, "__times", "__copy")
 
 
 def sample_frame(df: DataFrame, rows: int | None, seed: int = 0) -> DataFrame:
@@ -29,8 +42,8 @@ def sample_frame(df: DataFrame, rows: int | None, seed: int = 0) -> DataFrame:
     total = df.count()
     if total <= rows:
         return df
-    drawn = df.withColumn("_draw", draw(seed))
-    cut = order_values(drawn, {"d": F.col("_draw")}, {"d": [rows - 1]}, {"d": (total, 0.0, 1.0)})[("d", rows - 1)]
+    drawn = with_draw(df, "_draw", seed)
+    cut = order_values(stable(drawn.select("_draw")), {"d": F.col("_draw")}, {"d": [rows - 1]}, {"d": (total, 0.0, 1.0)})[("d", rows - 1)]
     return drawn.where(F.col("_draw") <= F.lit(cut)).drop("_draw")
 
 

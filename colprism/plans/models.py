@@ -15,14 +15,12 @@ from colprism.functions.fixed import MULTICLASS, REGRESSION
 
 SEED = 0
 MAX_BINS = 64
-# MLlib grows trees level by level, so "unlimited" depth is bounded by what a
-# table of the given size can use: its full 30 levels on small tables only
-DEEPEST, DEEP_ROWS, DEEP_ON_LARGE = 30, 20_000, 14
+# MLlib grows trees level by level, up to 30; this many stand for "unlimited" at every size
+DEEPEST, UNLIMITED = 30, 14
 
 
-def depth_of(value: int | None, rows: int) -> int:
-    limit = DEEPEST if rows <= DEEP_ROWS else DEEP_ON_LARGE
-    return min(value, DEEPEST) if value else limit
+def depth_of(value: int | None) -> int:
+    return min(value, DEEPEST) if value else UNLIMITED
 
 
 def _plain_split(params: dict) -> None:
@@ -39,7 +37,7 @@ def make_model(algorithm: str, task: str, params: dict, rows: int, label_std: fl
     if algorithm == "gradient_boosting":
         if params["l2_regularization"]:
             raise ValueError("l2_regularization has no counterpart in MLlib boosting")
-        depth = min(depth_of(params["max_depth"], rows), max(1, math.ceil(math.log2(params["max_leaf_nodes"]))))
+        depth = min(depth_of(params["max_depth"]), max(1, math.ceil(math.log2(params["max_leaf_nodes"]))))
         settings = dict(common, stepSize=params["learning_rate"], maxIter=params["max_iter"], maxDepth=depth,
                         minInstancesPerNode=params["min_samples_leaf"], maxBins=MAX_BINS, seed=SEED)
         # a one-vs-rest split cannot carry the validation column through
@@ -53,13 +51,13 @@ def make_model(algorithm: str, task: str, params: dict, rows: int, label_std: fl
         return boosted
     if algorithm == "random_forest":
         _plain_split(params)
-        settings = dict(common, numTrees=params["n_estimators"], maxDepth=depth_of(params["max_depth"], rows),
+        settings = dict(common, numTrees=params["n_estimators"], maxDepth=depth_of(params["max_depth"]),
                         minInstancesPerNode=params["min_samples_leaf"], featureSubsetStrategy=params["max_features"],
                         bootstrap=params["bootstrap"], maxBins=MAX_BINS, seed=SEED)
         return RandomForestRegressor(**settings) if regression else RandomForestClassifier(**settings)
     if algorithm == "decision_tree":
         _plain_split(params)
-        settings = dict(common, maxDepth=depth_of(params["max_depth"], rows),
+        settings = dict(common, maxDepth=depth_of(params["max_depth"]),
                         minInstancesPerNode=params["min_samples_leaf"], maxBins=MAX_BINS, seed=SEED)
         criterion = params["criterion"]
         if regression:

@@ -23,7 +23,7 @@ from colprism.operators.evaluate import (
 )
 from colprism.operators.features import SCALED, Prepared, prepare_features, split_features
 from colprism.operators.importance import importances, permutation_importance
-from colprism.operators.sampling import cap_rows, draw
+from colprism.operators.sampling import cap_rows, with_draw
 from colprism.plans.models import SEED, make_model
 from colprism.plans.params import resolve, validate_request
 from colprism.plans.task import Plan
@@ -33,6 +33,8 @@ VALIDATION = 0.2
 EARLY_STOPPING = 0.1
 TUNED_CLASS_ROWS = 20
 ID, DRAW = "__row", "__draw"
+# columns that training and scoring add to a frame; a feature of such a name would be overwritten by the target or a score
+RESERVED = {"label", "weight", "features", "prediction", "rawprediction", "probability", "score", ID, DRAW, "__class", "__score", "__redraw"}
 
 
 @dataclass
@@ -95,6 +97,11 @@ def drop_missing_target(df: DataFrame, target: str) -> DataFrame:
     return nan_to_null(df).where(col(target).isNotNull())
 
 
+def _reason(error: Exception) -> str:
+    """The first line of an error that says something, or its kind."""
+    return next((line.strip() for line in str(error).splitlines() if line.strip()), type(error).__name__)
+
+
 def numeric_target_filter(df: DataFrame, target: str) -> DataFrame:
     """The target as a number, rows where it is none dropped."""
     number = finite(as_number(target, physicals(df)[target]))
@@ -120,6 +127,9 @@ def train(df: DataFrame, plan: Plan, algorithms: list[str] | None = None, params
     if feature_split == "kind":
         kinds = {c: k for role, k in (("numeric", "numeric"), ("categorical", "categorical"), ("temporal", "datetime"))
                  for c in plan.features[role]}
+    clashing = sorted(RESERVED & {c.lower() for c in used})
+    if clashing:
+        raise ValueError("rename the features %s: training adds columns of these names" % ", ".join(clashing))
     columns = split_features(frame, used, kinds)
     labels: list[str] = []
     if plan.task == REGRESSION:
@@ -133,7 +143,7 @@ def train(df: DataFrame, plan: Plan, algorithms: list[str] | None = None, params
             raise ValueError("column '%s' has more than %d classes" % (plan.target, fixed.MAX_CLASSES))
         frame = frame.withColumn("label", (F.array_position(F.array(*[F.lit(v) for v in labels]), F.col("__class")) - 1).cast("double"))
     # drawn numbers and row ids are written once, so that a lost executor cannot change the split
-    frame = stable(frame.withColumn(DRAW, draw(SEED)).withColumn(ID, F.monotonically_increasing_id()))
+    frame = stable(with_draw(frame, DRAW, SEED).withColumn(ID, F.monotonically_increasing_id()))
     rows = frame.count()
 
     # preparations fitted so far: they depend on the rows and on scaling, not on the algorithm
@@ -150,7 +160,7 @@ def train(df: DataFrame, plan: Plan, algorithms: list[str] | None = None, params
                 result = _supervise(name, plan, split, columns, values, labels, known)
             result.params, result.columns, result.used = values, columns, used
         except Exception as error:  # one algorithm must not sink the others
-            result = Result(name, ok=False, error=str(error).splitlines()[0])
+            result = Result(name, ok=False, error=_reason(error))
         result.fit_seconds = time.perf_counter() - begun
         results.append(result)
     good = sorted((r for r in results if r.ok), key=lambda r: -(r.score if r.score is not None else float("-inf")))

@@ -15,7 +15,7 @@ from colprism.functions.fixed import BINARY, CLUSTERING, REGRESSION
 from colprism.operators.anomalies import isolation_forest
 from colprism.operators.clusters import dbscan
 from colprism.operators.evaluate import classification_metrics, confusion, predict_at, regression_metrics, train_test_split
-from colprism.operators.sampling import cap_rows, draw
+from colprism.operators.sampling import cap_rows, with_draw
 from colprism.plans.models import SEED
 from colprism.plans.training import DRAW, ID, Training
 from colprism.session import pin, stable
@@ -139,7 +139,6 @@ def replay(spark: SparkSession, path: str, df: DataFrame) -> float:
     """The score of a saved supervised pipeline on the holdout it was scored on."""
     pipeline, manifest = load_pipeline(spark, path)
     target, task = manifest["target"], manifest["task"]
-    # the columns in the order training projected them, so rows draw the same numbers
     frame = nan_to_null(df).select(*[col(c) for c in manifest["used"]], col(target)).where(col(target).isNotNull())
     frame, _ = cap_rows(frame, manifest["max_rows"])
     if task == REGRESSION:
@@ -149,7 +148,7 @@ def replay(spark: SparkSession, path: str, df: DataFrame) -> float:
         names = F.array(*[F.lit(v) for v in manifest["labels"]])
         frame = (frame.withColumn("__class", cell_text(target, dtype))
                  .withColumn("label", (F.array_position(names, F.col("__class")) - 1).cast("double")))
-    frame = stable(frame.withColumn(DRAW, draw(SEED)).withColumn(ID, F.monotonically_increasing_id()))
+    frame = stable(with_draw(frame, DRAW, SEED).withColumn(ID, F.monotonically_increasing_id()))
     _, test = train_test_split(frame, manifest["test_size"], DRAW, None if task == REGRESSION else "label")
     scored = pipeline.transform(test)
     if task == REGRESSION:

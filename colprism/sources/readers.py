@@ -107,7 +107,8 @@ def meta(df: DataFrame, name: str, fmt: str, nrows: int | None = None, separator
 
 def preview(df: DataFrame, rows: int = 50, order_by: list[str] | None = None) -> DataFrame:
     """The first rows, safe to show: formatted times, no NaN or infinity."""
-    rows = max(1, min(rows, 1000))
+    if not 1 <= rows <= 1000:
+        raise ReadError("a preview has 1 to 1000 rows, not %d" % rows)
     head = df.orderBy(*[col(c) for c in order_by]).limit(rows) if order_by else df.limit(rows)
     shown = []
     for f in head.schema.fields:
