@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -187,18 +188,30 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
         made = Fingerprints(sent.value)
         held = None
         for batch in batches:
-            for part in slices(batch):
-                part = part.select(["key", "text", "range", "last"])
+            open_ = zstandard.ZstdDecompressor()
+            texts = pa.array([open_.decompress(b).decode() for b in batch.column("packed").to_pylist()], pa.string())
+            whole = pa.RecordBatch.from_arrays([batch.column("key"), texts, batch.column("last")], ["key", "text", "last"])
+            for part in slices(whole):
                 if held is not None:
                     part = pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0]
                 held = part.slice(part.num_rows - 1)
                 if part.num_rows > 1:
                     yield _compared(made, part, key)
 
-    whole = ranged.withColumn("last", F.lit(0)).unionByName(heads)
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Texts are shuffled compressed; the stream codec alone leaves them half as large again."""
+        close = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            packed = pa.array([close.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("range", "last", "key", "code")], packed],
+                                             ["range", "last", "key", "code", "packed"])
+
+    whole = (ranged.withColumn("last", F.lit(0)).unionByName(heads)
+             .select("range", "last", "key", F.xxhash64("text").alias("code"), "text")
+             .mapInArrow(pack, f"range int, last int, key {kind}, code bigint, packed binary"))
     shape = (f"`{key}` {kind}, n_chars bigint, edited string, fingerprint string, edited_fingerprint string, "
              "near_edited double, near_next double")
-    return (whole.repartition("range").sortWithinPartitions("range", "last", "key", F.xxhash64("text"), "text")
+    return (whole.repartition("range").sortWithinPartitions("range", "last", "key", "code", "packed")
             .mapInArrow(run, shape))
 
 
