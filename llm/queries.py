@@ -92,4 +92,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_cover_tree, op8_bpe, op9_quality, op10_mixing)
 }
 
-ORACLES: dict[str, str] = {}
+# the mix in closed form: a source's stream is read in a circle until its target is met
+ORACLES: dict[str, str] = {
+    "op10_mixing": r"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
+    md5(concat_ws('|', 'mix', doc_id::VARCHAR, text)) AS turn FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS sid FROM d GROUP BY source),
+w AS (SELECT *, CASE sid % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END::DOUBLE AS weight, 3.0::DOUBLE * source_size AS most FROM s),
+l AS (SELECT *, most / weight AS ratio, ((sum(source_size) OVER ())::DOUBLE - coalesce(sum(most) OVER earlier, 0))
+    / (sum(weight) OVER () - coalesce(sum(weight) OVER earlier, 0)) AS level
+    FROM w WINDOW earlier AS (ORDER BY most / weight, sid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, coalesce(least(most, weight * (SELECT level FROM l WHERE ratio >= level ORDER BY ratio, sid LIMIT 1)), most) AS target FROM l),
+p AS (SELECT d.*, t.source_size, t.target, round(t.target)::BIGINT AS want,
+    (sum(size) OVER (PARTITION BY d.source ORDER BY turn ROWS UNBOUNDED PRECEDING))::BIGINT - size AS begun
+    FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
+SELECT doc_id, size, source_size, round(target, 6) AS target, CASE WHEN size = 0 THEN 0 ELSE
+    (want // source_size) * size + greatest(0, least(begun + size, want % source_size) - begun) END::BIGINT AS taken FROM p""",
+}
