@@ -8,9 +8,11 @@ from collections.abc import Callable
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalogue import oracle as O
 from catalogue.frames import columns_of, frame, frame_sql, table
+from colprism.functions import fixed
 from colprism.operators import anomalies, cleaning, clusters, evaluate, features, profile, quality, sampling, schema
 from colprism.operators.facts import column_facts
 from colprism.plans import task as tasks
@@ -52,6 +54,12 @@ def on(name: str, operator):
     return lambda spark, d: operator(frame(spark, d, name))
 
 
+def numbered(found: DataFrame) -> DataFrame:
+    """A table of a row per column or kind, its rows numbered in the order in which they come."""
+    rows = [(at, *row) for at, row in enumerate(pin(found).collect(), start=1)]
+    return found.sparkSession.createDataFrame(rows, T.StructType([T.StructField("rank", T.LongType()), *found.schema.fields]))
+
+
 def facts_of(spark, d, name, **more):
     return pin(column_facts(frame(spark, d, name), **more))
 
@@ -68,16 +76,28 @@ def _orders_csv(spark, d):
     return path
 
 
+def _mixed_csv(spark, d):
+    """All orders as files of two column orders in one folder."""
+    path = scratch_path(spark, "orders") + ".csv"
+    orders = table(spark, d, "orders")
+    even = F.col("o_orderkey") % 2 == 0
+    orders.where(even).write.csv(path, header=True)
+    orders.where(~even).select(*reversed(orders.columns)).write.mode("append").csv(path, header=True)
+    return path
+
+
 def _events_json(spark, d):
     path = scratch_path(spark, "events") + ".jsonl"
-    table(spark, d, "events").select("event_id", "user_id", "event_type", "value", "props").write.json(path)
+    micros = "yyyy-MM-dd HH:mm:ss.SSSSSS"
+    table(spark, d, "events").write.options(timestampFormat=micros, timestampNTZFormat=micros).json(path)
     return path
 
 
 add("read_parquet", lambda s, d: readers.read_any(s, f"{d}/part.parquet")[0], "SELECT * FROM part")
 add("read_csv", lambda s, d: readers.read_any(s, _orders_csv(s, d))[0], "SELECT * FROM orders")
+add("read_csv_folder", lambda s, d: readers.read_any(s, _mixed_csv(s, d))[0], "SELECT * FROM orders")
 add("read_json", lambda s, d: readers.read_any(s, _events_json(s, d))[0],
-    "SELECT event_id, user_id, event_type, value, props FROM events")
+    "SELECT * REPLACE (strftime(ts, '%Y-%m-%d %H:%M:%S.%f') AS ts) FROM events")
 add("meta_separator", lambda s, d: readers.read_any(s, _orders_csv(s, d))[1].withColumn("name", F.lit("orders")),
     "SELECT 'orders' AS name, 'csv' AS format, count(*) AS rows, 6 AS columns, FALSE AS truncated, ';' AS separator FROM orders")
 add("preview", lambda s, d: readers.preview(table(s, d, "orders"), 50, ["o_orderkey"]),
@@ -131,17 +151,19 @@ def _schema(spark, d, name="messy"):
     return pin(schema.infer_schema(frame(spark, d, name), folded=True))
 
 
-add("suggest_targets", lambda s, d: schema.suggest_targets(_schema(s, d)),
-    f"SELECT name, kind FROM ({O.schema('messy')}) WHERE kind IN ('boolean','categorical','numeric','datetime')")
-add("type_composition", lambda s, d: schema.type_composition(_schema(s, d)),
-    f"SELECT kind, count(*) AS count FROM ({O.schema('messy')}) GROUP BY kind")
+_TARGET_ORDER = "CASE kind WHEN 'boolean' THEN 0 WHEN 'categorical' THEN 1 WHEN 'numeric' THEN 2 ELSE 4 END"
+add("suggest_targets", lambda s, d: numbered(schema.suggest_targets(_schema(s, d))),
+    f"SELECT row_number() OVER (ORDER BY {_TARGET_ORDER}, ordinal) AS rank, name, kind FROM ({O.schema('messy')}) WHERE kind IN ('boolean','categorical','numeric','datetime')")
+add("type_composition", lambda s, d: numbered(schema.type_composition(_schema(s, d))),
+    f"SELECT row_number() OVER (ORDER BY list_position({fixed.KIND_ORDER!r}, kind)) AS rank, kind, count(*) AS count "
+    f"FROM ({O.schema('messy')}) GROUP BY kind")
 add("usable_column_count", lambda s, d: schema.usable_column_count(_schema(s, d)),
     f"SELECT count(*) FILTER (modelable) AS usable, count(*) AS columns FROM ({O.schema('messy')})")
 add("columns_of_kind", lambda s, d: schema.columns_of_kind(_schema(s, d), "numeric", "datetime"),
     f"SELECT ordinal, name, kind FROM ({O.schema('messy')}) WHERE kind IN ('numeric','datetime')")
-add("search_columns", lambda s, d: schema.search_columns(
-    _schema(s, d).drop("dtype"), stats_of(s, d), "e", ["numeric", "categorical", "text"], "missing", True),
-    f"SELECT ordinal, name, kind, reason, modelable, missing_pct, unique_pct FROM ({O.stats('messy', NUMERIC['messy'])}) "
+add("search_columns", lambda s, d: numbered(schema.search_columns(
+    _schema(s, d).drop("dtype"), stats_of(s, d), "e", ["numeric", "categorical", "text"], "missing", True)),
+    f"SELECT row_number() OVER (ORDER BY missing_pct DESC, ordinal) AS rank, ordinal, name, kind, reason, modelable, missing_pct, unique_pct FROM ({O.stats('messy', NUMERIC['messy'])}) "
     "WHERE contains(lower(name), 'e') AND kind IN ('numeric','categorical','text')", ["missing_pct", "unique_pct"])
 
 # -------------------------------------------------------------------- profile
@@ -221,21 +243,19 @@ add("correlation_strength", lambda s, d: profile.correlation_strength(_pairs(s,
     f"CASE WHEN r >= 0 THEN 'positive' ELSE 'negative' END AS sign FROM ({_PAIRS})", ["r"])
 add("related_columns", lambda s, d: profile.related_columns(_pairs(s, d), "tail"),
     f"SELECT * FROM ({_PAIRS}) WHERE a = 'tail' OR b = 'tail'", ["r"])
-add("missing_matrix", on("messy", lambda df: profile.missing_matrix(
-    df.select("l_orderkey", "l_linenumber", "quantity", "blank", "returnflag", "note"), ["l_orderkey", "l_linenumber"])),
-    "SELECT l_orderkey AS key_l_orderkey, l_linenumber AS key_l_linenumber, FALSE AS l_orderkey, FALSE AS l_linenumber, "
-    "quantity IS NULL AS quantity, blank IS NULL AS blank, returnflag IS NULL AS returnflag, note IS NULL AS note "
-    f"FROM {frame_sql('messy')}")
+add("missing_matrix", on("messy", lambda df: profile.missing_matrix(df, ["l_orderkey", "l_linenumber"])),
+    "SELECT l_orderkey AS key_l_orderkey, l_linenumber AS key_l_linenumber, "
+    + ", ".join(f"{c} IS NULL AS {c}" for c in columns_of("messy")) + f" FROM {frame_sql('messy')}")
 add("missing_rate", on("messy", profile.missing_rate),
     O.union(f"SELECT '{c}' AS name, avg(CASE WHEN {c} IS NULL THEN 1.0 ELSE 0.0 END) AS rate FROM {frame_sql('messy')}"
             for c in columns_of("messy")), ["rate"])
 add("missing_pattern", on("messy", lambda df: profile.missing_pattern(df, "quantity", ["l_orderkey", "l_linenumber"])),
     f"SELECT l_orderkey, l_linenumber, quantity IS NULL AS missing FROM {frame_sql('messy')}")
 _STATS = O.stats("messy", NUMERIC["messy"])
-add("rank_missing", lambda s, d: profile.rank_missing(stats_of(s, d)),
-    f"SELECT name, missing_pct FROM ({_STATS}) WHERE missing_pct > 0 ORDER BY missing_pct DESC LIMIT 12", ["missing_pct"])
-add("rank_outliers", lambda s, d: profile.rank_outliers(stats_of(s, d)),
-    f"SELECT name, outliers, outliers_pct FROM ({_STATS}) WHERE q1 IS NOT NULL", ["outliers_pct"])
+add("rank_missing", lambda s, d: numbered(profile.rank_missing(stats_of(s, d))),
+    f"SELECT row_number() OVER (ORDER BY missing_pct DESC, ordinal) AS rank, name, missing_pct FROM ({_STATS}) WHERE missing_pct > 0 ORDER BY missing_pct DESC, ordinal LIMIT 12", ["missing_pct"])
+add("rank_outliers", lambda s, d: numbered(profile.rank_outliers(stats_of(s, d))),
+    f"SELECT row_number() OVER (ORDER BY outliers_pct DESC NULLS LAST, ordinal) AS rank, name, outliers, outliers_pct FROM ({_STATS}) WHERE q1 IS NOT NULL", ["outliers_pct"])
 add("rank_cardinality", lambda s, d: profile.rank_cardinality(stats_of(s, d)),
     f"SELECT name, kind, uniq AS unique, unique_pct, row_number() OVER (ORDER BY unique_pct DESC, ordinal) AS rank, "
     f"count(*) FILTER (kind = 'categorical' AND uniq > 50) OVER () AS high_cardinality FROM ({_STATS})", ["unique_pct"])
@@ -591,74 +611,60 @@ add("labels_preview", lambda s, d: evaluate.labels_preview(table(s, d, "embeddin
 
 # --------------------------------------------------------------------- models
 
-_PART = {"numeric": ["p_partkey", "p_size"], "categorical": ["p_brand", "p_type"], "temporal": [], "dropped": []}
-_ORDER = {"numeric": ["o_totalprice", "o_custkey"], "categorical": ["o_orderpriority"], "temporal": ["o_orderdate"], "dropped": []}
 
 
-def _run(spark, d, name, target, task, feats, algorithms, params=None):
-    df = table(spark, d, name)
-    p = tasks.Plan(target, task, "", feats, None, None, [], 0)
-    return training.train(df, p, algorithms, params)
+def _trained(df, target, algorithms):
+    """A run as a user makes it: inferred kinds, the plan for the target, default settings."""
+    return training.train(df, tasks.plan(df, pin(schema.infer_schema(df, folded=True)), target), algorithms)
+
+
+def _run(spark, d, name, target, algorithms):
+    return _trained(table(spark, d, name), target, algorithms)
 
 
-def _board(name, target, task, feats, algorithms, params=None):
-    def query(spark, d):
-        run = _run(spark, d, name, target, task, feats, algorithms, params)
-        for r in run.results:
-            if not r.ok:
-                raise RuntimeError(r.error)
-        return run.leaderboard(spark).drop("fit_seconds")
-    return query
+def _fitted(run, spark):
+    for r in run.results:
+        if not r.ok:
+            raise RuntimeError(r.error)
+    return run.leaderboard(spark).drop("fit_seconds")
 
 
-def _part_board(algorithm, params=None):
-    return _board("part", "p_retailprice", "regression", _PART, [algorithm], {algorithm: params or {}})
+def _board(name, target, algorithms):
+    return lambda spark, d: _fitted(_run(spark, d, name, target, algorithms), spark)
 
 
-add("fit_ridge", _part_board("ridge"))
-add("fit_decision_tree_regressor", _part_board("decision_tree"))
-add("fit_random_forest_regressor", _part_board("random_forest", {"n_estimators": 20, "max_depth": 8}))
-add("fit_gradient_boosting_regressor", _part_board("gradient_boosting", {"max_iter": 20}))
+for _name in ("ridge", "decision_tree", "random_forest", "gradient_boosting"):
+    add("fit_" + _name + ("" if _name == "ridge" else "_regressor"), _board("part", "p_retailprice", [_name]))
 
 
 def _labelled_documents(spark, d):
     return table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id").select("n_chars", "lang", "source", "quality")
 
 
-def _quality(algorithm, params=None):
-    def query(spark, d):
-        feats = {"numeric": ["n_chars"], "categorical": ["lang", "source"], "temporal": [], "dropped": []}
-        p = tasks.Plan("quality", "binary_classification", "", feats, None, None, [], 0)
-        run = training.train(_labelled_documents(spark, d), p, [algorithm], {algorithm: params or {}})
-        if not run.results[0].ok:
-            raise RuntimeError(run.results[0].error)
-        return run.leaderboard(spark).drop("fit_seconds")
-    return query
+def _quality(algorithm):
+    return lambda spark, d: _fitted(_trained(_labelled_documents(spark, d), "quality", [algorithm]), spark)
 
 
-add("fit_logistic_regression", _quality("logistic_regression"))
-add("fit_decision_tree_classifier", _quality("decision_tree"))
-add("fit_random_forest_classifier", _quality("random_forest", {"n_estimators": 20, "max_depth": 8}))
-add("fit_gradient_boosting_classifier", _quality("gradient_boosting", {"max_iter": 20}))
-add("fit_gradient_boosting_multiclass", _board("orders", "o_orderstatus", "multiclass_classification", _ORDER, ["gradient_boosting"], {
-    "gradient_boosting": {"max_iter": 10, "max_leaf_nodes": 8}}))
+for _name in ("logistic_regression", "decision_tree", "random_forest", "gradient_boosting"):
+    add("fit_" + _name + ("" if _name == "logistic_regression" else "_classifier"), _quality(_name))
+add("fit_gradient_boosting_multiclass", _board("orders", "o_orderstatus", ["gradient_boosting"]))
 
 
 def _importance(spark, d):
-    return _run(spark, d, "part", "p_retailprice", "regression", _PART, ["ridge"]).results[0].importance
+    return _run(spark, d, "part", "p_retailprice", ["ridge"]).results[0].importance
 
 
 add("importances", _importance)
 
 
 def _permutation(spark, d):
-    r = _run(spark, d, "part", "p_retailprice", "regression", _PART, ["decision_tree"]).results[0]
+    r = _run(spark, d, "part", "p_retailprice", ["decision_tree"]).results[0]
     from colprism.operators.importance import permutation_importance
     return permutation_importance(r.pipeline, r.holdout, r.used, training.DRAW, regression=True)
 
 
 add("permutation_importance", _permutation)
-add("leaderboard", _board("part", "p_retailprice", "regression", _PART, ["ridge", "decision_tree"]))
+add("leaderboard", _board("part", "p_retailprice", ["ridge", "decision_tree"]))
 
 
 def _vectors(spark, d):
@@ -673,13 +679,13 @@ def _part_vectors(spark, d):
 
 
 add("fit_kmeans", lambda s, d: evaluate.cluster_sizes(clusters.fit_kmeans(_part_vectors(s, d).persist(), {
-    "n_clusters": 4, "n_init": 3, "max_iter": 50})[1]))
-add("choose_k", lambda s, d: s.createDataFrame([(clusters.choose_k(_part_vectors(s, d).persist(), restarts=2),)], "k int"))
+    "n_clusters": 4, "n_init": 10, "max_iter": 300})[1]))
+add("choose_k", lambda s, d: s.createDataFrame([(clusters.choose_k(_part_vectors(s, d).persist()),)], "k int"))
 add("euclidean_silhouette", lambda s, d: s.createDataFrame(
     [(clusters.euclidean_silhouette(_vectors(s, d), "label"),)], "silhouette double"))
 add("fit_dbscan", lambda s, d: clusters.dbscan(_part_vectors(s, d), "p_partkey", 0.08, 8).select("p_partkey", "cluster"))
-add("fit_isolation_forest", lambda s, d: anomalies.isolation_forest(_vectors(s, d), "vec_id", 50).select("vec_id", "deviation", "cluster"))
-add("strangest_rows", lambda s, d: anomalies.strangest_rows(anomalies.isolation_forest(_part_vectors(s, d), "p_partkey", 50), ["p_partkey"]))
+add("fit_isolation_forest", lambda s, d: anomalies.isolation_forest(_vectors(s, d), "vec_id").select("vec_id", "deviation", "cluster"))
+add("strangest_rows", lambda s, d: anomalies.strangest_rows(anomalies.isolation_forest(_part_vectors(s, d), "p_partkey"), ["p_partkey"]))
 
 # ---------------------------------------------------------------------- sinks
 
@@ -722,7 +728,7 @@ add("register_dataset", _registered, f"SELECT name, kind, rows, 1 AS datasets FR
 
 def _saved_run(spark, d):
     kept = Registry(spark, scratch_path(spark, "registry"))
-    run = _run(spark, d, "part", "p_retailprice", "regression", _PART, ["ridge"])
+    run = _run(spark, d, "part", "p_retailprice", ["ridge"])
     return kept.load_run(kept.save_run("part", run))["leaderboard"].drop("fit_seconds")
 
 
@@ -731,7 +737,7 @@ add("save_run", _saved_run)
 
 def _exported_results(spark, d):
     path = scratch_path(spark, "results")
-    exports.export_results(_run(spark, d, "part", "p_retailprice", "regression", _PART, ["ridge"]), spark, path)
+    exports.export_results(_run(spark, d, "part", "p_retailprice", ["ridge"]), spark, path)
     return spark.read.json(path).select("algorithm", "ok", "score")
 
 
@@ -750,7 +756,7 @@ add("training_report", _report)
 
 def _replayed(spark, d):
     path = scratch_path(spark, "pipeline")
-    run = _run(spark, d, "part", "p_retailprice", "regression", _PART, ["ridge"])
+    run = _run(spark, d, "part", "p_retailprice", ["ridge"])
     manifest = exports.export_pipeline(run, "ridge", path, spark)
     again = exports.replay(spark, path, table(spark, d, "part"))
     return spark.createDataFrame([(manifest["score"], round(again, 4), abs(manifest["score"] - again) <= 0.02)],
@@ -762,7 +768,7 @@ add("export_pipeline", _replayed)
 
 def _scored_table(spark, d):
     path = scratch_path(spark, "pipeline")
-    exports.export_pipeline(_run(spark, d, "part", "p_retailprice", "regression", _PART, ["ridge"]), "ridge", path, spark)
+    exports.export_pipeline(_run(spark, d, "part", "p_retailprice", ["ridge"]), "ridge", path, spark)
     return exports.score_table(spark, path, table(spark, d, "part")).select("p_partkey", "prediction")
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
@@ -48,21 +51,23 @@ def _grow(x: np.ndarray, rng: np.random.Generator, limit: int) -> list[tuple]:
 def grow_forest(points: DataFrame, trees: int, seed: int = 0) -> tuple[pd.DataFrame, int]:
     """Trees over 256-row subsamples; ``points`` has key and array columns (id, x).
 
-    Rows are offered to trees by hash. A large table offers each row to at
-    most one tree and only a small pool of rows at all, so the shuffle is a
-    few subsamples per tree whatever the table's size.
+    Every row is offered to the same mean number of trees, distinct ones that
+    its hash names, so that a tree is offered about ``wanted`` rows; of a large
+    table most rows are offered to none. What is shuffled is a few subsamples
+    per tree whatever the table's size.
     """
     total = points.count()
     size = min(SUBSAMPLE, total)
     wanted = 2 * size + 64
     unit = lambda *k: F.shiftrightunsigned(F.xxhash64(F.lit(seed), *k), 11) / F.lit(float(2 ** 53))
-    if total > trees * wanted:
-        offered = (points.where(unit(F.col("id")) < trees * wanted / total)
-                   .withColumn("tree", F.pmod(F.xxhash64(F.lit(seed + 1), "id"), F.lit(trees)).cast("int")))
-    else:
-        share = min(1.0, wanted / max(total, 1))
-        offered = (points.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
-                   .where(unit(F.col("id"), F.col("tree")) < share))
+    rate = min(float(trees), trees * wanted / max(total, 1))
+    times = (F.floor(F.lit(rate) + unit(F.col("id")))).cast("int")
+    strides = F.array(*[F.lit(k) for k in range(1, trees + 1) if math.gcd(k, trees) == 1])
+    begin, pick = (F.xxhash64(F.lit(seed + k), "id") for k in (1, 2))
+    offered = (points.withColumn("times", F.least(times, F.lit(trees))).where("times > 0")
+               .withColumn("stride", F.get(strides, F.pmod(pick, F.size(strides)).cast("int")))
+               .withColumn("nth", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
+               .withColumn("tree", F.pmod(F.pmod(begin, F.lit(trees)) + F.col("nth") * F.col("stride"), F.lit(trees)).cast("int")))
     # groups hold a few hundred rows, so ranking them stays small
     first = F.row_number().over(Window.partitionBy("tree").orderBy(unit(F.col("tree"), F.col("id")), "id"))
     samples = offered.withColumn("at", first).where(F.col("at") <= size).select("tree", "at", "x")
@@ -106,14 +111,38 @@ def score_rows(features: DataFrame, forest: pd.DataFrame, size: int) -> DataFram
     return features.withColumn("deviation", deviation(vector_to_array("features")))
 
 
+@dataclass
+class Forest:
+    """Fitted trees, the size of their subsamples, and the normality below which a row is an outlier."""
+
+    trees: pd.DataFrame
+    size: int
+    cut: float
+
+    def label(self, scored: DataFrame) -> DataFrame:
+        """``cluster`` of rows that have a ``deviation``: -1 for outliers, 1 for normal rows."""
+        return scored.withColumn("cluster", F.when(-F.col("deviation") < F.lit(self.cut), -1).otherwise(1))
+
+    def score(self, features: DataFrame) -> DataFrame:
+        """Rows it was not fitted on, with ``deviation`` and ``cluster``."""
+        return self.label(score_rows(features, self.trees, self.size))
+
+
+def fit_forest(features: DataFrame, key: str, trees: int = 150, contamination: float = 0.05,
+               seed: int = 0) -> tuple[Forest, DataFrame]:
+    """The forest, and the rows with ``deviation`` and ``cluster``."""
+    points = features.select(F.col(key).alias("id"), vector_to_array("features").alias("x"))
+    grown, size = grow_forest(points, trees, seed)
+    scored = stable(score_rows(features, grown, size))
+    cut = quantiles(scored, {"normality": -F.col("deviation")}, [contamination])["normality"][0]
+    forest = Forest(grown, size, cut)
+    return forest, forest.label(scored)
+
+
 def isolation_forest(features: DataFrame, key: str, trees: int = 150, contamination: float = 0.05,
                      seed: int = 0) -> DataFrame:
     """The rows with ``deviation`` and ``cluster``: -1 for outliers, 1 for normal rows."""
-    points = features.select(F.col(key).alias("id"), vector_to_array("features").alias("x"))
-    forest, size = grow_forest(points, trees, seed)
-    scored = stable(score_rows(features, forest, size))
-    cut = quantiles(scored, {"normality": -F.col("deviation")}, [contamination])["normality"][0]
-    return scored.withColumn("cluster", F.when(-F.col("deviation") < F.lit(cut), -1).otherwise(1))
+    return fit_forest(features, key, trees, contamination, seed)[1]
 
 
 def strangest_rows(scored: DataFrame, columns: list[str], limit: int = 10) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from colprism.functions import fixed
 from colprism.functions.columns import as_number, cell_text, col, finite, nan_to_null, physicals
 from colprism.functions.fixed import BINARY, CLUSTERING, REGRESSION
-from colprism.operators.anomalies import isolation_forest, strangest_rows
+from colprism.operators.anomalies import Forest, fit_forest, strangest_rows
 from colprism.operators.clusters import dbscan, euclidean_silhouette, fit_kmeans
 from colprism.operators.evaluate import (
     class_weights, classification_metrics, cluster_sizes, confusion, labels_preview, pinned_row, predict_at,
@@ -50,6 +50,7 @@ class Result:
     fit_seconds: float = 0.0
     pipeline: PipelineModel | None = None
     prepared: Prepared | None = None
+    forest: Forest | None = None
     labels: list[str] = field(default_factory=list)
     importance: DataFrame | None = None
     confusion: DataFrame | None = None
@@ -278,7 +279,7 @@ def _cluster(name: str, frame: DataFrame, columns, values, used) -> Result:
     stages = prepared.stages()
     try:
         if name == "isolation_forest":
-            labelled = isolation_forest(features, ID, values["n_estimators"], values["contamination"])
+            result.forest, labelled = fit_forest(features, ID, values["n_estimators"], values["contamination"])
             counts = {r["cluster"]: r["count"] for r in cluster_sizes(labelled).collect()}
             outliers, total = counts.get(-1, 0), sum(counts.values())
             result.metrics = {"outliers": outliers, "outliers_pct": round(outliers / max(total, 1) * 100, 2),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from colprism.functions import fixed
 from colprism.functions.columns import as_number, cell_text, col, finite, nan_to_null, physicals
 from colprism.functions.fixed import BINARY, CLUSTERING, REGRESSION
-from colprism.operators.anomalies import isolation_forest
+from colprism.operators.anomalies import Forest
 from colprism.operators.clusters import dbscan
 from colprism.operators.evaluate import classification_metrics, confusion, predict_at, regression_metrics, train_test_split
 from colprism.operators.sampling import cap_rows, with_draw
@@ -100,6 +100,9 @@ def export_pipeline(training: Training, algorithm: str, path: str, spark: SparkS
         "threshold": result.metrics.get("threshold"), "labels": result.labels,
         "clusters": result.metrics.get("clusters"), "score": result.score, "score_name": training.score_name,
     }
+    if result.forest is not None:
+        manifest["forest"] = {"size": result.forest.size, "cut": result.forest.cut}
+        spark.createDataFrame(result.forest.trees).write.mode("overwrite").parquet(f"{path}/forest")
     result.pipeline.write().overwrite().save(f"{path}/pipeline")
     spark.createDataFrame([(json.dumps(manifest),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     return manifest
@@ -111,18 +114,19 @@ def load_pipeline(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
 
 
 def score_table(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
-    """New rows with their prediction: class text, number or cluster."""
+    """New rows with their prediction: class text, number or cluster; a forest keeps its trees and its cut."""
     pipeline, manifest = load_pipeline(spark, path)
     task, name = manifest["task"], manifest["algorithm"]
     df = nan_to_null(df)
-    if task == CLUSTERING and name != "kmeans":
+    if name == "isolation_forest":
+        # at most 1,000 trees of 511 nodes
+        trees = spark.read.parquet(f"{path}/forest").toPandas().sort_values(["tree", "node"]).reset_index(drop=True)
+        forest = Forest(trees, manifest["forest"]["size"], manifest["forest"]["cut"])
+        return forest.score(pipeline.transform(df)).drop("features")
+    if name == "dbscan":
         keyed = stable(pipeline.transform(df.withColumn(ID, F.monotonically_increasing_id())))
         p = manifest["params"]
-        if name == "dbscan":
-            labelled = dbscan(keyed, ID, p["eps"], p["min_samples"], p["metric"])
-        else:
-            labelled = isolation_forest(keyed, ID, p["n_estimators"], p["contamination"])
-        return labelled.drop(ID, "features")
+        return dbscan(keyed, ID, p["eps"], p["min_samples"], p["metric"]).drop(ID, "features")
     scored = pipeline.transform(df)
     if task == CLUSTERING:
         return scored.drop("features")

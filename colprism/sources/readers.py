@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import csv
 import os
+import re
+from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -65,28 +68,72 @@ def _repaired(df: DataFrame) -> DataFrame:
     return dates_from_objects(numbers_from_text(df, shapes), {})
 
 
+def _headers(spark: SparkSession, path: str, separator: str) -> list[tuple[str, list[str], bool]]:
+    """(file, names, whether a quoted cell breaks a line) of every file that has lines, by file.
+
+    One scan reads all lines: a cell that opens with a quote and does not close
+    on its line marks the file as one that can't be split. A row per file comes back.
+    """
+    at_start = "(^|%s)" % re.escape(separator)
+    closed = at_start + r'\x20*"(?:[^"]|"")*+"(?=\x20*(?:%s|$))' % re.escape(separator)
+    opening = at_start + r'\x20*"'
+    lines = spark.read.text(path).select(
+        "value", "_metadata.file_path", F.regexp_replace("value", closed, "$1").rlike(opening).alias("open"),
+        F.when(F.col("_metadata.file_block_start") == 0, F.monotonically_increasing_id()).alias("nth"))
+    # the lowest number of a file's first block is that of its first line
+    found = (lines.where("open or nth is not null").groupBy("file_path")
+             .agg(F.min(F.when(F.col("nth").isNotNull(), F.struct("nth", "value", "open"))).alias("first"),
+                  F.max("open").alias("open")))
+    out = []
+    for row in sorted(found.collect(), key=lambda r: r["file_path"]):
+        file = unquote(row["file_path"])
+        if row["first"]["open"]:
+            names = [c or "" for c in spark.read.csv(file, sep=separator, quote='"', escape='"', multiLine=True).first()]
+        else:
+            names = next(csv.reader([row["first"]["value"]], delimiter=separator, skipinitialspace=True), [])
+        out.append((file, [n.lstrip("\ufeff").strip() for n in names], row["open"]))
+    return out
+
+
 def read_csv(spark: SparkSession, path: str, separator: str = ",", nrows: int | None = None,
              multi_line: bool | None = None) -> DataFrame:
     """Delimited text with a header line in every file.
 
-    All cells are read as text by position and typed from their contents, so
-    repeated and blank header names cannot shift columns. Quoted line breaks
-    are looked for unless ``multi_line`` says; without them files stay
-    splittable.
+    Cells are read as text and typed from their contents. Files of one header
+    are read by position, so repeated and blank names cannot shift columns;
+    files whose headers differ are aligned by name and number among equal
+    names, a column that a file lacks is NULL there. Rows with more cells than
+    their header are refused. Files with quoted line breaks are read whole, the
+    others stay splittable, unless ``multi_line`` says for all.
     """
-    if multi_line is None:
-        quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-        multi_line = not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
-    first = spark.read.text(path).limit(1).collect()
-    if not first:
+    files = _headers(spark, path, separator)
+    if not files:
         raise ReadError("'%s' has no rows" % path)
-    header = next(csv.reader([first[0]["value"].lstrip("﻿")], delimiter=separator))
-    schema = T.StructType([T.StructField(f"_{i}", T.StringType()) for i in range(len(header))])
-    raw = spark.read.csv(path, schema=schema, sep=separator, header=True, enforceSchema=True, quote='"', escape='"',
-                         multiLine=multi_line, mode="PERMISSIVE")
+    groups: dict[tuple, list[str]] = {}
+    for file, names, broken in files:
+        groups.setdefault((tuple(names), broken if multi_line is None else multi_line), []).append(file)
+    order = list(dict.fromkeys(key for names, _ in groups for key in _numbered(names)))
+    parts = []
+    for (names, broken), listed in groups.items():
+        cells = [f"_{i}" for i in range(len(names))]
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*cells, "_wide"]])
+        raw = spark.read.csv(path if len(groups) == 1 else listed, schema=schema, sep=separator, header=True, enforceSchema=True,
+                             quote='"', escape='"', multiLine=broken, mode="PERMISSIVE")
+        at = dict(zip(_numbered(names), cells))
+        parts.append(raw.select(*[(F.col(at[key]) if key in at else F.lit(None).cast("string")).alias(f"_{i}")
+                                  for i, key in enumerate(order)], "_wide"))
+    raw = reduce(DataFrame.unionAll, parts)
+    wide = raw.agg(F.count("_wide")).first()[0]
+    if wide:
+        raise ReadError("'%s' has %d rows with more cells than their header" % (path, wide))
     missing = fixed.MISSING_WORDS
-    raw = raw.select(*[F.when(~F.col(c).isin(missing), F.col(c)).alias(c) for c in raw.columns])
-    return typed_text(tidy_columns(_head(raw, nrows), header))
+    raw = raw.select(*[F.when(~F.col(c).isin(missing), F.col(c)).alias(c) for c in raw.columns if c != "_wide"])
+    return typed_text(tidy_columns(_head(raw, nrows), [name for name, _ in order]))
+
+
+def _numbered(names: tuple[str, ...]) -> list[tuple[str, int]]:
+    """Every name with its number among equal names."""
+    return [(name, names[:i].count(name)) for i, name in enumerate(names)]
 
 
 def read_parquet(spark: SparkSession, path: str, nrows: int | None = None) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from colprism.operators import anomalies, clusters
 from colprism.plans.task import plan
 from colprism.plans.training import train
+from colprism.sinks import exports
 
 
 def points(spark, x, label=None):
@@ -90,7 +91,7 @@ def test_isolation_forest_finds_the_far_points(spark):
     assert {r["id"] for r in top.collect()} == set(range(400, 408))
 
 
-def test_large_tables_offer_each_row_to_one_tree(spark):
+def test_every_tree_of_a_large_table_gets_its_subsample(spark):
     df = spark.range(20_000).select("id", F.array(F.rand(1), F.rand(2)).alias("x"))
     forest, size = anomalies.grow_forest(df, 10)
     assert size == 256 and set(forest["tree"]) == set(range(10))
@@ -102,3 +103,14 @@ def test_clustering_without_a_target(spark, frame, schema):
     assert by["kmeans"].metrics["clusters"] == 4 and by["kmeans"].sizes.count() == 4
     assert 0 < by["isolation_forest"].metrics["outliers_pct"] < 20
     assert not by["ridge"].ok and by["isolation_forest"].examples.count() == 10
+
+
+def test_a_saved_forest_scores_with_its_own_trees_and_cut(spark, frame, schema, tmp_path):
+    run = train(frame, plan(frame, schema), ["isolation_forest"], {"isolation_forest": {"n_estimators": 50}})
+    exports.export_pipeline(run, "isolation_forest", str(tmp_path), spark)
+    first = {r["id"]: r["cluster"] for r in exports.score_table(spark, str(tmp_path), frame).select("id", "cluster").collect()}
+    outliers = [k for k, c in first.items() if c == -1]
+    assert outliers
+    # ordinary rows alone: none becomes an outlier because the others are gone
+    ordinary = frame.where(~frame["id"].isin(outliers))
+    assert exports.score_table(spark, str(tmp_path), ordinary).where("cluster = -1").isEmpty()

@@ -78,6 +78,35 @@ def test_quoted_line_breaks_are_kept(spark, tmp_path):
     assert df.count() == 2 and df.where("a = 1").first()["b"] == 'two\nlines "quoted"'
 
 
+def test_headers_of_a_folder_are_aligned_by_name(spark, tmp_path):
+    folder = tmp_path / "a folder.csv"
+    folder.mkdir()
+    (folder / "1.csv").write_text("id,v\n1,x\n2,y\n")
+    (folder / "2.csv").write_text('v,id,more\n"z\nz",3,0.5\n')
+    (folder / "3.csv").write_text("id,v\n4,5\" pipe\n")
+    df = readers.read_csv(spark, str(folder))
+    assert [tuple(r) for r in df.orderBy("id").collect()] == [(1, "x", None), (2, "y", None), (3, "z\nz", 0.5), (4, '5" pipe', None)]
+
+
+def test_rows_wider_than_the_header_are_refused(spark, tmp_path):
+    with pytest.raises(ReadError, match="1 rows with more cells"):
+        readers.read_csv(spark, write(tmp_path, "wide.csv", "a,b\n1,2,3\n4,5\n6\n"))
+    short = readers.read_csv(spark, write(tmp_path, "short.csv", "a,b\n6\n4,5\n"))
+    assert [tuple(r) for r in short.orderBy("a").collect()] == [(4, 5), (6, None)]
+
+
+def test_a_header_may_break_its_line(spark, tmp_path):
+    df = readers.read_csv(spark, write(tmp_path, "h.csv", '"one\nname",b\n1,2\n'))
+    assert df.columns == ["one\nname", "b"] and tuple(df.first()) == (1, 2)
+
+
+def test_long_integers_stay_exact(spark, tmp_path):
+    text = "id,big\n9223372036854775806,10000000000000000000\n9223372036854775807,10000000000000000001\n"
+    df = readers.read_csv(spark, write(tmp_path, "ids.csv", text))
+    assert df.dtypes == [("id", "bigint"), ("big", "decimal(38,0)")]
+    assert df.select("id").distinct().count() == 2 and df.select("big").distinct().count() == 2
+
+
 def test_preview_is_safe_to_show(spark, frame):
     head = readers.preview(frame, 5, ["id"])
     assert head.count() == 5 and dict(head.dtypes)["day"] == "string"
