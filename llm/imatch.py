@@ -17,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
@@ -169,20 +170,25 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     sent = spark.sparkContext.broadcast(lexicon(rows, "text", band))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     cuts = rows.agg(F.percentile_approx("key", [k / parts for k in range(1, parts)], 20 * parts).alias("c")).first().c or []
-    cuts = sorted(set(cuts))
-    bounds = F.array(*[F.lit(c).cast(kind) for c in cuts]) if cuts else F.expr(f"cast(array() as array<{kind}>)")
-    ranged = rows.withColumn("range", F.size(F.filter(bounds, lambda c: c <= F.col("key"))))
-    ranged = ranged.withColumn("range", F.when(F.col("key").isNull(), 0).otherwise(F.col("range")))
+    cuts = np.array(sorted(set(cuts)))
+    at = spark.sparkContext.broadcast(cuts)
+
+    @F.pandas_udf("int")
+    def placed(keys: pd.Series) -> pd.Series:
+        if not len(at.value):
+            return pd.Series(np.zeros(len(keys), np.int32))
+        return pd.Series(np.searchsorted(at.value, keys.to_numpy(at.value.dtype), side="right").astype(np.int32))
+
+    # a null would turn whole numbers into doubles on the way to Python
+    ranged = rows.withColumn("range", F.when(F.col("key").isNull(), 0).otherwise(placed(F.coalesce("key", F.lit(0).cast(kind)))))
     code = F.xxhash64("text")
     least = ranged.groupBy("range").agg(F.min(F.struct("key", code.alias("code"))).alias("row"))
     least = F.broadcast(least.select("range", F.col("row.key").alias("k"), F.col("row.code").alias("c")))
     firsts = saved(ranged.join(least, "range").where(F.col("key").eqNullSafe(F.col("k")) & (code == F.col("c")))
                    .select("range", "key", "text").dropDuplicates(["range"]), "imatch-firsts")
     begins = [r.range for r in firsts.select("range").orderBy("range").collect()]
-    follow = {a: b for a, b in zip(begins, begins[1:] + begins[:1])}
-    heads = firsts.withColumn("last", F.lit(1)).withColumn(
-        "range", F.element_at(F.create_map(*[F.lit(x) for b, a in follow.items() for x in (a, b)]), F.col("range"))
-    ) if begins else firsts.withColumn("last", F.lit(1))
+    follow = spark.createDataFrame(list(zip(begins[1:] + begins[:1], begins)), "range int, before int")
+    heads = firsts.join(F.broadcast(follow), "range").select(F.col("before").alias("range"), "key", "text", F.lit(1).alias("last"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Fingerprints(sent.value)
