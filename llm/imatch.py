@@ -17,8 +17,8 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -172,48 +172,46 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     cuts = rows.agg(F.percentile_approx("key", [k / parts for k in range(1, parts)], 20 * parts).alias("c")).first().c or []
     cuts = np.array(sorted(set(cuts)))
     at = spark.sparkContext.broadcast(cuts)
+    rows = rows.withColumn("code", F.xxhash64("text"))
 
-    @F.pandas_udf("int")
-    def placed(keys: pd.Series) -> pd.Series:
-        if not len(at.value):
-            return pd.Series(np.zeros(len(keys), np.int32))
-        return pd.Series(np.searchsorted(at.value, keys.to_numpy(at.value.dtype), side="right").astype(np.int32))
-
-    # a null would turn whole numbers into doubles on the way to Python
-    ranged = rows.withColumn("range", F.when(F.col("key").isNull(), 0).otherwise(placed(F.coalesce("key", F.lit(0).cast(kind)))))
-    code = F.xxhash64("text")
-    least = ranged.groupBy("range").agg(F.min(F.struct("key", code.alias("code"))).alias("row"))
-    least = F.broadcast(least.select("range", F.col("row.key").alias("k"), F.col("row.code").alias("c")))
-    firsts = saved(ranged.join(least, "range").where(F.col("key").eqNullSafe(F.col("k")) & (code == F.col("c")))
-                   .select("range", "key", "text").dropDuplicates(["range"]), "imatch-firsts")
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_ranges(batch.column("key"), at.value)), *batch.columns], ["range", "k", "c"])
+
+    placed = rows.select("key", "code").mapInArrow(place, f"range int, k {kind}, c bigint")
+    least = placed.groupBy("range").agg(F.min(F.struct("k", "c")).alias("row")).select("range", "row.*")
+    firsts = saved(rows.join(F.broadcast(least), F.col("key").eqNullSafe(F.col("k")) & (F.col("code") == F.col("c")))
+                   .select("range", "key", "code", "text").dropDuplicates(["range"]), "imatch-firsts")
     begins = [r.range for r in firsts.select("range").orderBy("range").collect()]
     follow = spark.createDataFrame(list(zip(begins[1:] + begins[:1], begins)), "range int, before int")
-    heads = firsts.join(F.broadcast(follow), "range").select(F.col("before").alias("range"), "key", "text", F.lit(1).alias("last"))
+    heads = firsts.join(F.broadcast(follow), "range").select(F.col("before").alias("range"), F.lit(1).alias("last"), "key", "code", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Fingerprints(sent.value)
         held = None
+        open_ = zstandard.ZstdDecompressor()
         for batch in batches:
-            open_ = zstandard.ZstdDecompressor()
-            texts = pa.array([open_.decompress(b).decode() for b in batch.column("packed").to_pylist()], pa.string())
-            whole = pa.RecordBatch.from_arrays([batch.column("key"), texts, batch.column("last")], ["key", "text", "last"])
-            for part in slices(whole):
-                if held is not None:
-                    part = pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0]
-                held = part.slice(part.num_rows - 1)
-                if part.num_rows > 1:
-                    yield _compared(made, part, key)
+            for packed in slices(batch, "packed", 1 << 20):
+                texts = pa.array([open_.decompress(b).decode() for b in packed.column("packed").to_pylist()], pa.string())
+                whole = pa.RecordBatch.from_arrays([packed.column("key"), texts, packed.column("last")], ["key", "text", "last"])
+                for part in slices(whole, size=2 << 20):
+                    if held is not None:
+                        part = pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0]
+                    # a copy, so that the row held back does not keep its batch
+                    held = part.take(pa.array([part.num_rows - 1]))
+                    if part.num_rows > 1:
+                        yield _compared(made, part, key)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Texts are shuffled compressed; the stream codec alone leaves them half as large again."""
         close = zstandard.ZstdCompressor(level=3)
         for batch in batches:
+            ranges = pc.coalesce(batch.column("range"), pa.array(_ranges(batch.column("key"), at.value)))
             packed = pa.array([close.compress(t.encode()) for t in batch.column("text").to_pylist()], pa.binary())
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("range", "last", "key", "code")], packed],
+            yield pa.RecordBatch.from_arrays([ranges, *[batch.column(c) for c in ("last", "key", "code")], packed],
                                              ["range", "last", "key", "code", "packed"])
 
-    whole = (ranged.withColumn("last", F.lit(0)).unionByName(heads)
-             .select("range", "last", "key", F.xxhash64("text").alias("code"), "text")
+    whole = (rows.select(F.lit(None).cast("int").alias("range"), F.lit(0).alias("last"), "key", "code", "text").unionByName(heads)
              .mapInArrow(pack, f"range int, last int, key {kind}, code bigint, packed binary"))
     shape = (f"`{key}` {kind}, n_chars bigint, edited string, fingerprint string, edited_fingerprint string, "
              "near_edited double, near_next double")
@@ -221,6 +219,15 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
             .mapInArrow(run, shape))
 
 
+def _ranges(keys: pa.Array, cuts: np.ndarray) -> np.ndarray:
+    """The range of every key between sorted cuts; null keys are in the first."""
+    out = np.zeros(len(keys), np.int32)
+    if len(cuts):
+        out[keys.is_valid().to_numpy(zero_copy_only=False)] = np.searchsorted(
+            cuts, keys.drop_null().to_numpy(zero_copy_only=False), side="right")
+    return out
+
+
 def _compared(made: Fingerprints, part: pa.RecordBatch, key: str) -> pa.RecordBatch:
     """Every row but heads (last = 1) with the row behind it."""
     own = np.flatnonzero(part.column("last").to_numpy() == 0)
