@@ -38,49 +38,39 @@ def export_results(training: Training, spark: SparkSession, path: str) -> None:
     training.leaderboard(spark).coalesce(1).write.mode("overwrite").json(path)
 
 
-def _bullets(pairs) -> list[str]:
-    return [f"- **{name}:** {text}" for name, text in pairs]
-
-
-def _algorithm(name: str) -> str:
-    return fixed.ALGORITHM_NAMES.get(name, name.replace("_", " "))
-
-
-def _board_lines(training: Training) -> list[str]:
-    table = ["| # | algorithm | score | fit time |", "| --- | --- | --- | --- |"]
-    for place, r in enumerate(training.results, start=1):
-        cells = (place, _algorithm(r.algorithm), "—" if r.score is None else f"{r.score:.4f}", f"{r.fit_seconds:.2f}s") \
-            if r.ok else ("—", _algorithm(r.algorithm), f"failed: {r.error}", "")
-        table.append("| " + " | ".join(str(c) for c in cells) + " |")
-    return table
+def _markdown(head: list[str], rows: list[list]) -> str:
+    lines = [head, ["---"] * len(head), *rows]
+    return "\n".join("| " + " | ".join(str(cell).replace("|", "\\|") for cell in line) + " |" for line in lines)
 
 
 def training_report(name: str, plan, training: Training) -> str:
-    """A Markdown summary of a finished run: facts, leaderboard, settings, drivers, notes."""
-    task = fixed.TASK_NAMES.get(training.task, training.task)
-    facts = {
-        "Task": f"{task} (target `{training.target}`)" if training.target else task,
-        "Why": plan.task_reason,
-        "Rows used": f"{training.rows_used:,}" + (" (sampled)" if training.rows_sampled else ""),
-        "Features": sum(len(columns) for role, columns in plan.features.items() if role != "dropped"),
-        "Trained in": f"{training.seconds:.1f}s",
-    }
-    settings = {
-        _algorithm(r.algorithm): ", ".join(f"`{k}={'none' if v is None else v}`" for k, v in r.params.items())
-        for r in training.results if r.ok and r.params}
-    if settings and training.task != CLUSTERING:
-        settings["Held out for scoring"] = f"{training.test_size:.0%}"
-    sections = {
-        f"# Analysis report — {name}": _bullets(facts.items()),
-        f"## Leaderboard ({training.score_name})": _board_lines(training),
-        "## Settings used": _bullets(settings.items()),
-    }
+    """A Markdown page of a finished run: what was asked, each model with its settings, drivers, failures, notes."""
+    def shown(algorithm: str) -> str:
+        return fixed.ALGORITHM_NAMES.get(algorithm, algorithm.replace("_", " "))
+
+    fitted = [r for r in training.results if r.ok]
+    failed = [r for r in training.results if not r.ok]
+    columns = sum(map(len, plan.features.values())) - len(plan.features["dropped"])
+    opening = [fixed.TASK_NAMES.get(training.task, training.task) + (f" of `{training.target}`" if training.target else "")
+               + f": {plan.task_reason}.",
+               f"{len(fitted)} of {len(training.results)} models were fitted to {training.rows_used} rows"
+               + (", a sample," if training.rows_sampled else "") + f" and {columns} columns in {training.seconds:.1f} seconds."]
+    if training.task != CLUSTERING:
+        opening.append(f"Scores come from {training.test_size:.0%} of the rows, which no model has seen.")
+    models = [[place, shown(r.algorithm), "" if r.score is None else round(r.score, 4), round(r.fit_seconds, 2),
+               "; ".join(f"{k} = {v}" for k, v in sorted(r.params.items()))] for place, r in enumerate(fitted, 1)]
+    page = [f"# {name}", " ".join(opening), f"## Leaderboard ({training.score_name})",
+            _markdown(["place", "model", "score", "seconds", "settings"], models)]
+    if failed:
+        page += ["## Not fitted", _markdown(["model", "reason"], [[shown(r.algorithm), r.error] for r in failed])]
     if training.best is not None:
         drivers = training.best.importance.orderBy("rank").limit(10).collect()
-        sections[f"## What drove {_algorithm(training.best.algorithm)}"] = [
-            f"- `{d['column']}` — {d['weight']:.1%}" for d in drivers]
-    sections["## Notes"] = [f"- {note}" for note in plan.notes]
-    return "\n\n".join(title + "\n\n" + "\n".join(lines) for title, lines in sections.items() if lines) + "\n"
+        if drivers:
+            page += [f"## Columns that {shown(training.best.algorithm)} relies on",
+                     _markdown(["column", "weight"], [[f"`{d['column']}`", round(d["weight"], 4)] for d in drivers])]
+    if plan.notes:
+        page += ["## Mind", "  \n".join(plan.notes)]
+    return "\n\n".join(page) + "\n"
 
 
 def write_report(spark: SparkSession, text: str, path: str) -> None:

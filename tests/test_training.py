@@ -91,15 +91,21 @@ def test_exported_regressor_reproduces_the_score(spark, frame, regressed, tmp_pa
 
 def test_report_and_registry(spark, frame, schema, regressed, tmp_path):
     text = exports.training_report("sample", plan(frame, schema, "revenue"), regressed)
-    assert "## Leaderboard (r2)" in text and "Ridge regression" in text and "`spend`" in text
+    assert "Leaderboard (r2)" in text and "Ridge regression" in text and "`spend`" in text and "alpha = 1.0" in text
     kept = Registry(spark, str(tmp_path / "kept"))
     meta = spark.createDataFrame([("sample", 600)], "name string, rows int")
     key = kept.register_dataset(frame, meta, schema)
     assert kept.load_dataset(key).count() == 600 and kept.list_datasets().count() == 1
     assert kept.describe_dataset(key)["suggested_targets"].first()["name"] == "converted"
-    run = kept.load_run(kept.save_run(key, regressed))
+    saved = kept.save_run(key, regressed)
+    run = kept.load_run(saved)
     assert run["best"] == regressed.best.algorithm and json.dumps(run["dataset"])
+    assert run["leaderboard"].count() == len(regressed.results)
+    assert run["importance"][run["best"]].count() == regressed.best.importance.count()
     kept.forget_dataset(key)
     assert kept.list_datasets().isEmpty()
     with pytest.raises(KeyError):
         kept.load_dataset(key)
+    with pytest.raises(KeyError):
+        kept.load_run(saved)
+    assert not list((tmp_path / "kept").glob(f"*/{key}")) and not list((tmp_path / "kept" / "run").iterdir())
