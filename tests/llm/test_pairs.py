@@ -163,6 +163,34 @@ def test_every_repeated_run_of_fifty_words_is_found(documents, prose):
     assert passages.deduplicate(documents(rows).limit(0)).count() == 0
 
 
+def test_passages_with_long_insertions_and_repeated_beginnings(documents, prose):
+    """(a) a diagonal that moves by 9 words and more; (b) words that also stand earlier in the other text."""
+    rows, want = [], {}
+    for k, (n, more) in enumerate([(90, 9), (99, 9), (90, 10), (90, 8)]):
+        passage = prose(100 + k, n)
+        edited = passage[:n // 2] + prose(200 + k, more) + passage[n // 2:]
+        rows += [(2 * k, " ".join(prose(300 + k, 70) + passage + prose(400 + k, 70))),
+                 (2 * k + 1, " ".join(prose(500 + k, 70) + edited + prose(600 + k, 70)))]
+        want |= {2 * k: (70, 70 + n), 2 * k + 1: (70, 70 + n + more)}
+    passage = prose(700, 60)
+    rows += [(20, " ".join(prose(701, 70) + passage + prose(702, 70))),
+             (21, " ".join(passage[:20] + prose(703, 70) + passage + prose(704, 70)))]
+    want |= {20: (70, 130), 21: (90, 150)}
+    found = {r.doc_id: [(s.start, s.end) for s in r.spans] for r in passages.deduplicate(documents(rows)).collect()}
+    assert found == {i: [span] for i, span in want.items()}
+
+
+def test_equal_runs_do_not_depend_on_how_many_are_held(monkeypatch):
+    rng = np.random.default_rng(3)
+    own, other = rng.integers(0, 4, 60).astype(np.uint32), rng.integers(0, 4, 80).astype(np.uint32)
+    want = sorted((i, i + n - 1, j, j + n - 1) for i in range(60) for j in range(80)
+                  if own[i] == other[j] and not (i and j and own[i - 1] == other[j - 1])
+                  for n in [next(k for k in range(1, 82) if i + k == 60 or j + k == 80 or own[i + k] != other[j + k])])
+    for points in (1 << 20, 50):
+        monkeypatch.setattr(passages, "POINTS", points)
+        assert sorted(zip(*(x.tolist() for x in passages.diagonals(own, *passages.ranked(other))))) == want
+
+
 def _targets(sizes, weights=(5, 2, 1), most=3):
     names = sorted(sizes, key=lambda s: (s is None, (s or "").encode()))
     weight = {s: weights[k % len(weights)] for k, s in enumerate(names)}
