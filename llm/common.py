@@ -61,7 +61,7 @@ def by_group(df: DataFrame, keys: list[str], sort: list[str], act: Callable[[pa.
         for batch in batches:
             part = pa.Table.from_batches([batch])
             rest = part if rest is None else pa.concat_tables([rest, part])
-            if rest.num_rows < 2000:
+            if rest.num_rows < 2000 and rest.nbytes < 32 << 20:
                 continue
             cuts = _cuts(rest, keys)
             if len(cuts) > 1:

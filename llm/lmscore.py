@@ -11,17 +11,18 @@ where h is the word before, or the start of the text. A text's score is the
 mean over its tokens of target loss minus background loss: low is like the
 target. Words are lower-case runs without white space.
 
-The vocabulary is every word that makes up at least ``SHARE`` of all tokens and
-occurs at least ``LEAST`` times; other words are one word, "unknown". At most
-1 / SHARE words can reach that share, which bounds the broadcast of word counts
-at any size of the corpus. Bigram counts have no bound and stay distributed:
-every task sends its texts' bigrams, packed by hash partition, to the partition
-that counts them, which answers with sums of losses per text.
+The vocabulary is every word that occurs at least ``LEAST`` times, however many
+there are; other words are one word, "unknown". Neither words nor bigrams are
+gathered: texts are cut into slices, every slice asks for the totals of its
+distinct words and then of its distinct bigrams, packed by hash into homes of
+about ``HOME`` questions each, and sums the losses of its own texts. A hot word
+or bigram is one question per slice. Words and bigrams are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -33,11 +34,12 @@ from pyspark.sql import functions as F
 from llm.common import by_group, if_small, saved
 from llm.words import mixed, slices, words
 
-SHARE = 1e-6
 LEAST = 2
 ALPHA = 0.5
 MU = 8.0
-START = 0  # ids: 0 is the start of a text, 1 the unknown word, 2.. the vocabulary
+START, UNKNOWN = 0, 1  # in the place of a word's hash
+HOME = 1 << 20         # questions answered together
+SLICE = 1 << 20        # bytes of text
 
 
 def with_target(docs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -87,40 +89,30 @@ def _batch(rows: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
                                       ["word", "target", "n"])
 
 
-class Vocabulary:
-    """Words by hash, and unigram counts of ids in both corpora; ``texts``: (target, all) texts, the starts' counts."""
+@dataclass
+class Sums:
+    """Of the target and of all texts: texts, tokens, and tokens of unknown words; size: words with the unknown one."""
 
-    def __init__(self, rows: np.ndarray, totals: tuple[int, int], texts: tuple[int, int]):
-        rows = rows[np.argsort(rows[:, 0].view(np.uint64))]
-        self.words = rows[:, 0].view(np.uint64)
-        self.size = len(rows) + 1
-        self.counts = []
-        for k in (0, 1):
-            own = rows[:, 1 + k].astype(float)
-            self.counts.append(np.concatenate([[texts[k], totals[k] - own.sum()], own]))
-        self.logs = [np.concatenate([[0.0], (c[1:] + ALPHA) / (c[1:].sum() + ALPHA * self.size)]) for c in self.counts]
+    texts: tuple[int, int]
+    tokens: tuple[int, int]
+    unknown: tuple[int, int]
+    size: int
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.ones(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at + 2, 1)
 
-    def losses(self, h: np.ndarray, w: np.ndarray, joint: np.ndarray, k: int) -> np.ndarray:
-        return -np.log((joint + MU * self.logs[k][w]) / (self.counts[k][h] + MU))
+def sums(docs: DataFrame, least: int = LEAST) -> Sums:
+    """Of the columns text and target."""
+    known = F.col("n") >= least
+    total = lambda c, *when: F.coalesce(F.sum(F.when(when[0], F.col(c)) if when else F.col(c)), F.lit(0))
+    row = word_counts(docs).agg(total("target"), total("n"), total("target", ~known), total("n", ~known), F.count(F.when(known, 1))).first()
+    texts = docs.agg(F.count(F.when(F.col("target"), 1)), F.count("*")).first()
+    return Sums(tuple(texts), tuple(row[:2]), tuple(row[2:4]), row[4] + 1)
 
 
-def vocabulary(docs: DataFrame, share: float = SHARE, least: int = LEAST) -> Vocabulary:
-    """Of the columns text and target. Collects at most 1 / share rows of counts."""
-    counts = saved(word_counts(docs), "lm-words")
-    sums = counts.agg(F.coalesce(F.sum("target"), F.lit(0)).alias("t"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    texts = docs.agg(F.count(F.when(F.col("target"), 1)).alias("t"), F.count("*").alias("n")).first()
-    kept = counts.where(F.col("n") >= max(least, share * sums.n)).select("word", "target", "n").toPandas()
-    return Vocabulary(kept.to_numpy(np.int64).reshape(-1, 3), (sums.t, sums.n), (texts.t, texts.n))
+CELLS = ["words", "target", "n", "at", "bounds", "marked"]
+ASKED = "home bigint, slice bigint, " + ", ".join(f"{c} binary" for c in CELLS)
 
 
-def score(docs: DataFrame, marks: DataFrame, key: str = "doc_id", text: str = "text", share: float = SHARE,
-          least: int = LEAST) -> DataFrame:
+def score(docs: DataFrame, marks: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
     """key, n_tokens, target_loss, background_loss (means per token), score for every row.
 
     ``marks`` holds the keys of the target texts; a null key is no target. A
@@ -129,102 +121,132 @@ def score(docs: DataFrame, marks: DataFrame, key: str = "doc_id", text: str = "t
     gives an empty result; without target texts the target model is the uniform
     one. Whole texts are counted and scored.
     """
-    spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
     rows = with_target(docs.select(docs[key].alias("doc_id"), docs[text].alias("text")),
                        marks.select(F.col(key).alias("doc_id")))
-    sent = spark.sparkContext.broadcast(vocabulary(rows.select("text", "target"), share, least))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    asked = rows.mapInArrow(lambda batches: _ask(batches, sent.value, parts),
-                            f"home int, slice bigint, joint binary, size binary, doc binary, marked binary, tokens binary, keys array<{kind}>")
-    answered = by_group(asked, ["home"], ["slice"], lambda group: _answer(group, sent.value),
-                        f"slice bigint, target binary, background binary, tokens binary, keys array<{kind}>")
-    summed = by_group(answered, ["slice"], [], _gathered, f"doc_id {kind}, n_tokens bigint, target_loss double, background_loss double")
+    model = sums(rows.select("text", "target"), least)
+    homes = -(-model.tokens[1] // HOME) or 1
+    shape = f"{ASKED}, keys array<{kind}>"
+    cut = saved(rows.mapInArrow(_slices, shape), "lm-slices")
+    told = cut.unionByName(_totals(cut, homes, _words_of), allowMissingColumns=True)
+    known = saved(by_group(told, ["slice"], ["home"], lambda group: _known(group, homes, least), shape), "lm-known")
+    told = known.unionByName(_totals(known, homes, _pairs_of), allowMissingColumns=True)
+    summed = by_group(told, ["slice"], ["home"], lambda group: _gathered(group, homes, model),
+                      f"doc_id {kind}, n_tokens bigint, target_loss double, background_loss double")
     return summed.select(F.col("doc_id").alias(key), "n_tokens", "target_loss", "background_loss",
                          (F.col("target_loss") - F.col("background_loss")).alias("score"))
 
 
-def _ask(batches: Iterator[pa.RecordBatch], vocab: Vocabulary, parts: int) -> Iterator[pa.RecordBatch]:
-    """The bigrams of a slice of texts, a row per partition: distinct bigrams, how often, and in which texts.
-
-    One row more names the slice's texts, so that a text is known by its slice
-    and place there, whatever its key.
-    """
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of texts: their distinct words, and for every token which of them it is."""
     task, nth = TaskContext.get().partitionId(), 0
     for batch in batches:
-        for part in slices(batch):
-            n, found = part.num_rows, words(part.column("text"))
-            w, sizes = vocab.ids(found.hashes), np.diff(found.bounds)
-            h = np.empty_like(w)
-            h[1:] = w[:-1]
-            h[found.bounds[:-1][sizes > 0]] = START
-            home = (mixed((h << 24 | w).view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-            key = home << 48 | h << 24 | w
-            order = np.argsort(key)
-            key = key[order]
-            doc = np.repeat(np.arange(n, dtype=np.int32), sizes)[order]
-            first = np.flatnonzero(np.diff(key, prepend=-1))
-            count = np.diff(first, append=len(key)).astype(np.int32)
-            cuts = np.searchsorted(key[first] >> 48, np.arange(parts + 1))
-            asks = np.flatnonzero(np.diff(cuts))
-            ends = np.append(first, len(key))
-            joint = key[first] & ((1 << 48) - 1)
-            cells = [[np.diff(joint[cuts[p]:cuts[p + 1]], prepend=0).tobytes() for p in asks],
-                     [count[cuts[p]:cuts[p + 1]].tobytes() for p in asks],
-                     [doc[ends[cuts[p]]:ends[cuts[p + 1]]].tobytes() for p in asks]]
-            marked = part.column("target").to_numpy(zero_copy_only=False).astype(np.uint8).tobytes()
-            m = len(asks)
-            named = pa.ListArray.from_arrays(pa.array([0] * (m + 1) + [n], pa.int32()), part.column("doc_id"),
-                                             mask=pa.array([True] * m + [False]))
+        for part in slices(batch, size=SLICE):
+            found = words(part.column("text"))
+            own, at = np.unique(found.hashes, return_inverse=True)
+            marked = part.column("target").to_numpy(zero_copy_only=False).astype(np.uint8)
+            cells = [own, None, None, at.astype(np.int32), found.bounds.astype(np.int64), marked]
+            named = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("doc_id"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([*asks.tolist(), nth % parts], pa.int32()), pa.array([task << 32 | nth] * (m + 1), pa.int64()),
-                 *[pa.array([*c, None], pa.binary()) for c in cells], pa.array([marked] * m + [None], pa.binary()),
-                 pa.array([None] * m + [sizes.astype(np.int64).tobytes()], pa.binary()), named],
-                ["home", "slice", "joint", "size", "doc", "marked", "tokens", "keys"])
+                [pa.array([None], pa.int64()), pa.array([task << 32 | nth], pa.int64()),
+                 *[pa.array([None if c is None else c.tobytes()], pa.binary()) for c in cells], named],
+                ["home", "slice", *CELLS, "keys"])
             nth += 1
 
 
-def _answer(group: pa.Table, vocab: Vocabulary) -> pa.Table:
-    """Counts the bigrams of a partition over all slices; sums of losses for every text of every slice."""
-    rows = group.select(["slice", "joint", "size", "doc", "marked"]).filter(pc.is_valid(group.column("joint"))).to_pylist()
-    names = group.filter(pc.is_valid(group.column("keys")))
-    sums = [[], []]
-    if rows:
-        joints = [np.cumsum(np.frombuffer(r["joint"], np.int64)) for r in rows]
-        counts = [np.frombuffer(r["size"], np.int32) for r in rows]
-        docs = [np.frombuffer(r["doc"], np.int32) for r in rows]
-        marks = [np.frombuffer(r["marked"], np.uint8) for r in rows]
-        own, at = np.unique(np.concatenate(joints), return_inverse=True)
-        in_target = np.concatenate([np.add.reduceat(m[d].astype(np.int64), np.cumsum(c) - c)
-                                    for m, d, c in zip(marks, docs, counts)])
-        both = np.bincount(at, in_target, len(own)), np.bincount(at, np.concatenate(counts), len(own))
-        losses = [vocab.losses(own >> 24, own & 0xFFFFFF, both[k], k) for k in (0, 1)]
-        begin = 0
-        for d, c, m in zip(docs, counts, marks):
-            mine = np.repeat(at[begin:begin + len(c)], c)
-            begin += len(c)
-            for k in (0, 1):
-                sums[k].append(np.bincount(d, losses[k][mine], len(m)).tobytes())
-    none = [None] * len(rows)
-    kind = group.schema.field("keys").type
-    said = pa.table({"slice": pa.array([r["slice"] for r in rows], pa.int64()), "target": pa.array(sums[0], pa.binary()),
-                     "background": pa.array(sums[1], pa.binary()), "tokens": pa.array(none, pa.binary()),
-                     "keys": pa.array(none, kind)})
-    empty = pa.nulls(names.num_rows, pa.binary())
-    return pa.concat_tables([said, pa.table({"slice": names.column("slice"), "target": empty, "background": empty,
-                                             "tokens": names.column("tokens"), "keys": names.column("keys")})])
-
-
-def _gathered(group: pa.Table) -> pa.Table:
-    """The texts of a slice with the means of the sums that all partitions gave."""
-    named = group.filter(pc.is_valid(group.column("keys"))).combine_chunks()
-    keys = named.column("keys").chunk(0).flatten()
-    tokens = np.frombuffer(named.column("tokens")[0].as_py(), np.int64)
+def _read(rows: pa.Table | pa.RecordBatch, k: int, name: str, kind: type) -> np.ndarray:
+    return np.frombuffer(rows.column(name)[k].as_buffer(), kind)
+
+
+def _words_of(batch: pa.RecordBatch | pa.Table, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct words of a slice, and which of them every token is."""
+    return _read(batch, k, "words", np.uint64), _read(batch, k, "at", np.int32)
+
+
+def _pairs_of(batch: pa.RecordBatch | pa.Table, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct bigrams of a slice, and which of them ends at every token."""
+    own, at = _words_of(batch, k)
+    bounds = _read(batch, k, "bounds", np.int64)
+    w = own[at]
+    h = np.empty_like(w)
+    h[1:] = w[:-1]
+    h[bounds[:-1][np.diff(bounds) > 0]] = START
+    return np.unique(mixed(mixed(h, 31) + w, 32), return_inverse=True)
+
+
+def _totals(slices_: DataFrame, homes: int, things: Callable) -> DataFrame:
+    """(home, slice, target, n): the totals, over all slices, of a slice's ``things`` in the order of home and hash."""
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own, at = things(batch, k)
+                marked = np.repeat(_read(batch, k, "marked", np.uint8), np.diff(_read(batch, k, "bounds", np.int64)))
+                counts = [np.bincount(at, marked, len(own)).astype(np.int32), np.bincount(at, minlength=len(own)).astype(np.int32)]
+                order, home = _homes(own, homes)
+                at_home = np.flatnonzero(np.diff(home, prepend=-1))
+                cells = [[c[order][a:b].tobytes() for a, b in zip(at_home, [*at_home[1:], len(own)])] for c in (own, *counts)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(home[at_home], pa.int64()), pa.array([batch.column("slice")[k].as_py()] * len(at_home), pa.int64()),
+                     *[pa.array(c, pa.binary()) for c in cells]], ["home", "slice", "words", "target", "n"])
+
+    def answer(group: pa.Table) -> pa.Table:
+        keys, target, n = (np.concatenate([_read(group, k, c, kind) for k in range(group.num_rows)])
+                           for c, kind in (("words", np.uint64), ("target", np.int32), ("n", np.int32)))
+        ends = np.cumsum([len(_read(group, k, "words", np.uint64)) for k in range(group.num_rows)])[:-1]
+        _, at = np.unique(keys, return_inverse=True)
+        cells = [[x.tobytes() for x in np.split(np.bincount(at, c).astype(np.int64)[at], ends)] for c in (target, n)]
+        return pa.table([group.column("home"), group.column("slice"), *[pa.array(c, pa.binary()) for c in cells]],
+                        ["home", "slice", "target", "n"])
+
+    asked = slices_.select("slice", *CELLS).mapInArrow(ask, "home bigint, slice bigint, words binary, target binary, n binary")
+    return by_group(asked, ["home"], ["slice"], answer, "home bigint, slice bigint, target binary, n binary")
+
+
+def _homes(own: np.ndarray, homes: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order by home and hash of distinct hashes, and the homes in that order."""
+    home = (mixed(own, 33) % np.uint64(homes)).astype(np.int64)
+    order = np.argsort(home, kind="stable")
+    return order, home[order]
+
+
+def _told(group: pa.Table, own: np.ndarray, homes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Target and all totals of a slice's things, from the answers of all homes."""
+    answers = group.filter(pc.is_valid(group.column("home"))).combine_chunks()
+    by, out = np.argsort(answers.column("home").to_numpy()), []
+    for c in ("target", "n"):
+        out.append(np.zeros(len(own), np.int64))
+        if len(by):
+            out[-1][_homes(own, homes)[0]] = np.concatenate([_read(answers, int(k), c, np.int64) for k in by])
+    return tuple(out)
+
+
+def _known(group: pa.Table, homes: int, least: int) -> pa.Table:
+    """A slice with the totals of its words, of which rare ones become the unknown word."""
+    row = group.filter(pc.is_null(group.column("home"))).combine_chunks()
+    own = _read(row, 0, "words", np.uint64)
+    target, n = _told(group, own, homes)
+    for name, cell in (("words", np.where(n >= least, own, np.uint64(UNKNOWN))), ("target", target), ("n", n)):
+        row = row.set_column(row.schema.get_field_index(name), name, pa.array([cell.tobytes()], pa.binary()))
+    return row
+
+
+def _gathered(group: pa.Table, homes: int, model: Sums) -> pa.Table:
+    """The texts of a slice with the means of their tokens' losses."""
+    row = group.filter(pc.is_null(group.column("home"))).combine_chunks()
+    own, at = _words_of(row, 0)
+    bounds = _read(row, 0, "bounds", np.int64)
+    pairs, pair = _pairs_of(row, 0)
+    tokens = np.diff(bounds)
+    doc = np.repeat(np.arange(len(tokens)), tokens)
     columns = []
-    for name in ("target", "background"):
-        total = np.zeros(len(tokens))
-        for cell in group.column(name).to_pylist():
-            if cell is not None:
-                total += np.frombuffer(cell, np.float64)
+    for k, (name, joint) in enumerate(zip(("target", "n"), _told(group, pairs, homes))):
+        count = np.where(own == UNKNOWN, model.unknown[k], _read(row, 0, name, np.int64)).astype(float)
+        w = count[at]
+        h = np.empty_like(w)
+        h[1:] = w[:-1]
+        h[bounds[:-1][tokens > 0]] = model.texts[k]
+        p = (w + ALPHA) / (model.tokens[k] + ALPHA * model.size)
+        total = np.bincount(doc, -np.log((joint[pair] + MU * p) / (h + MU)), len(tokens))
         columns.append(pa.array(total / np.maximum(tokens, 1), mask=tokens == 0))
-    return pa.table([keys, pa.array(tokens), *columns], ["doc_id", "n_tokens", "target_loss", "background_loss"])
+    return pa.table([row.column("keys").chunk(0).flatten(), pa.array(tokens), *columns],
+                    ["doc_id", "n_tokens", "target_loss", "background_loss"])

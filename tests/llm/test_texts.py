@@ -179,6 +179,28 @@ def test_losses_equal_brute_force(documents, spark, prose):
     assert lmscore.score(documents(rows).limit(0), spark.createDataFrame(marks, "doc_id bigint")).count() == 0
 
 
+def test_losses_do_not_depend_on_slices_and_homes(documents, spark, prose, monkeypatch):
+    rows = [*ODD, *[(100 + i, " ".join(["hot"] * i + prose(i % 7, 20 + i))) for i in range(40)]]
+    marks = spark.createDataFrame([(100 + i,) for i in range(0, 40, 3)], "doc_id bigint")
+    found = []
+    for home, size in ((1 << 20, 1 << 20), (60, 500)):
+        monkeypatch.setattr(lmscore, "HOME", home)
+        monkeypatch.setattr(lmscore, "SLICE", size)
+        found.append(sorted((str(r.doc_id), r.n_tokens, round(r.target_loss or 0, 9), round(r.background_loss or 0, 9))
+                            for r in lmscore.score(documents(rows), marks).collect()))
+    assert found[0] == found[1]
+
+
+def test_words_keep_their_counts_however_many_there_are(documents, spark):
+    """A word of two in more than a million tokens is no unknown word."""
+    rows = [(1, "rare rare"), (2, "once"), (3, "twice"), (4, "a " * 2_200_000)]
+    found = {r.doc_id: r.background_loss for r in
+             lmscore.score(documents(rows), spark.createDataFrame([(1,)], "doc_id bigint")).collect()}
+    p = lambda n: (n + lmscore.ALPHA) / (2_200_004 + lmscore.ALPHA * 3)
+    first, second = (1 + lmscore.MU * p(2)) / (4 + lmscore.MU), (1 + lmscore.MU * p(2)) / (2 + lmscore.MU)
+    assert found[1] == pytest.approx(-(math.log(first) + math.log(second)) / 2, abs=1e-9)
+
+
 def _labelled(prose):
     rows, labels = [], []
     for i in range(300):
