@@ -39,7 +39,7 @@ ALPHA = 0.5
 MU = 8.0
 START, UNKNOWN = 0, 1  # in the place of a word's hash
 HOME = 1 << 20         # questions answered together
-SLICE = 1 << 20        # bytes of text
+SLICE = 2 << 20        # bytes of text
 
 
 def with_target(docs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -149,13 +149,24 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             named = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("doc_id"))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([None], pa.int64()), pa.array([task << 32 | nth], pa.int64()),
-                 *[pa.array([None if c is None else c.tobytes()], pa.binary()) for c in cells], named],
+                 *[pa.array([None if c is None else _packed(c)], pa.binary()) for c in cells], named],
                 ["home", "slice", *CELLS, "keys"])
             nth += 1
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Compressed, first bytes of all numbers first, behind the size."""
+    raw = x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + (pa.compress(raw, "zstd", asbytes=True) if raw else b"")
+
+
 def _read(rows: pa.Table | pa.RecordBatch, k: int, name: str, kind: type) -> np.ndarray:
-    return np.frombuffer(rows.column(name)[k].as_buffer(), kind)
+    cell = rows.column(name)[k].as_buffer()
+    size = int.from_bytes(cell[:8], "little")
+    if not size:
+        return np.zeros(0, kind)
+    raw = np.frombuffer(pa.decompress(cell.slice(8), size, "zstd"), np.uint8)
+    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
 def _words_of(batch: pa.RecordBatch | pa.Table, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -184,17 +195,19 @@ def _totals(slices_: DataFrame, homes: int, things: Callable) -> DataFrame:
                 counts = [np.bincount(at, marked, len(own)).astype(np.int32), np.bincount(at, minlength=len(own)).astype(np.int32)]
                 order, home = _homes(own, homes)
                 at_home = np.flatnonzero(np.diff(home, prepend=-1))
-                cells = [[c[order][a:b].tobytes() for a, b in zip(at_home, [*at_home[1:], len(own)])] for c in (own, *counts)]
+                spans = list(zip(at_home, [*at_home[1:], len(own)]))
+                cells = [[_packed(np.diff(own[order][a:b], prepend=np.uint64(0))) for a, b in spans],
+                         *[[_packed(c[order][a:b]) for a, b in spans] for c in counts]]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(home[at_home], pa.int64()), pa.array([batch.column("slice")[k].as_py()] * len(at_home), pa.int64()),
                      *[pa.array(c, pa.binary()) for c in cells]], ["home", "slice", "words", "target", "n"])
 
     def answer(group: pa.Table) -> pa.Table:
-        keys, target, n = (np.concatenate([_read(group, k, c, kind) for k in range(group.num_rows)])
-                           for c, kind in (("words", np.uint64), ("target", np.int32), ("n", np.int32)))
-        ends = np.cumsum([len(_read(group, k, "words", np.uint64)) for k in range(group.num_rows)])[:-1]
-        _, at = np.unique(keys, return_inverse=True)
-        cells = [[x.tobytes() for x in np.split(np.bincount(at, c).astype(np.int64)[at], ends)] for c in (target, n)]
+        keys = [np.cumsum(_read(group, k, "words", np.uint64), dtype=np.uint64) for k in range(group.num_rows)]
+        target, n = (np.concatenate([_read(group, k, c, np.int32) for k in range(group.num_rows)]) for c in ("target", "n"))
+        ends = np.cumsum([len(x) for x in keys])[:-1]
+        _, at = np.unique(np.concatenate(keys), return_inverse=True)
+        cells = [[_packed(x) for x in np.split(np.bincount(at, c).astype(np.int64)[at], ends)] for c in (target, n)]
         return pa.table([group.column("home"), group.column("slice"), *[pa.array(c, pa.binary()) for c in cells]],
                         ["home", "slice", "target", "n"])
 
@@ -226,7 +239,7 @@ def _known(group: pa.Table, homes: int, least: int) -> pa.Table:
     own = _read(row, 0, "words", np.uint64)
     target, n = _told(group, own, homes)
     for name, cell in (("words", np.where(n >= least, own, np.uint64(UNKNOWN))), ("target", target), ("n", n)):
-        row = row.set_column(row.schema.get_field_index(name), name, pa.array([cell.tobytes()], pa.binary()))
+        row = row.set_column(row.schema.get_field_index(name), name, pa.array([_packed(cell)], pa.binary()))
     return row
 
 
