@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, covertree, imatch, jaccard, licenses, lmscore, mixing, passages, quality, secrets
+from llm import bpe, covertree, decontam, imatch, jaccard, licenses, lmscore, mixing, passages, quality, secrets
 from llm.common import shipped, table
 
 # where the public vocabulary lies on every machine
@@ -79,6 +79,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    listed = "array_join(array_sort(transform(items, i -> cast(i AS string))), ',')"
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.expr(listed), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def _registered(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         shipped(spark)
@@ -89,7 +96,7 @@ def _registered(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Sp
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _registered(f) for f in (
         op1_lm_scoring, op2_jaccard_join, op3_fingerprints, op4_substring_dedup, op5_license_scans, op6_secret_scans,
-        op7_cover_tree, op8_bpe, op9_quality, op10_mixing)
+        op7_cover_tree, op8_bpe, op9_quality, op10_mixing, op13_decontamination)
 }
 
 # the mix in closed form: a source's stream is read in a circle until its target is met
@@ -108,4 +115,19 @@ p AS (SELECT d.*, t.source_size, t.target, round(t.target)::BIGINT AS want,
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, round(target, 6) AS target, CASE WHEN size = 0 THEN 0 ELSE
     (want // source_size) * size + greatest(0, least(begun + size, want % source_size) - begun) END::BIGINT AS taken FROM p""",
+    "op13_decontamination": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+b AS (SELECT item_id::VARCHAR AS item, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM benchmark),
+windows AS (SELECT DISTINCT item, size, array_to_string(w[i:i + size - 1], ' ') AS gram
+    FROM (SELECT item, w, least(10, len(w)) AS size, unnest(range(1, len(w) - least(10, len(w)) + 2)) AS i FROM b WHERE len(w) > 0)),
+runs AS (SELECT r, i, size, array_to_string(w[i:i + size - 1], ' ') AS gram
+    FROM (SELECT r, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM windows))),
+met AS (SELECT r, i, size, item FROM runs JOIN windows USING (size, gram)),
+hit AS (SELECT r, count(DISTINCT p)::BIGINT AS n FROM (SELECT r, unnest(range(i, i + size)) AS p FROM met) GROUP BY r),
+found AS (SELECT r, count(DISTINCT item)::BIGINT AS n, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM met GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(hit.n, 0)::BIGINT AS n_hit, coalesce(found.n, 0)::BIGINT AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, hit.n IS NOT NULL AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN found USING (r)""",
 }
