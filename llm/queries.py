@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, covertree, decontam, imatch, jaccard, licenses, lmscore, mixing, passages, quality, secrets
-from llm.common import shipped, table
+from llm import bpe, covertree, decontam, imatch, jaccard, licenses, lmscore, mixing, passages, prefixes, quality, secrets
+from llm.common import saved, shipped, table
 
 # where the public vocabulary lies on every machine
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -79,6 +79,22 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def _rebuilt(found: DataFrame) -> DataFrame:
+    """Paths that begin with the first h turns of the conversation at the multiple of 20 below, instead of the first h of their own."""
+    heads = found.where("conv % 20 = 0").select(F.col("conv").alias("base"), F.substring("path", 1, 3 * prefixes.DIGEST).alias("head"),
+                                                F.substring("words", 1, 3 * prefixes.COUNT).alias("head_words"))
+    turns = F.crc32(F.col("conv").cast("string").cast("binary")) % 4
+    joined = found.withColumn("h", turns.cast("int")).join(heads, F.expr("conv - conv % 20 = base"), "left")
+    swapped = "concat(coalesce(substring({0}, 1, h * {2}), X''), substring({1}, h * {2} + 1)) AS {1}"
+    return joined.selectExpr("conv", swapped.format("head", "path", prefixes.DIGEST), swapped.format("head_words", "words", prefixes.COUNT))
+
+
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = saved(prefixes.paths(table(spark, sf_dir, "conversations")), "conversation-paths")
+    return prefixes.nodes(_rebuilt(found)).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves",
+                                                  "saved_tokens", "ends_sha256")
+
+
 def op13_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontam.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     listed = "array_join(array_sort(transform(items, i -> cast(i AS string))), ',')"
@@ -96,7 +112,7 @@ def _registered(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Sp
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _registered(f) for f in (
         op1_lm_scoring, op2_jaccard_join, op3_fingerprints, op4_substring_dedup, op5_license_scans, op6_secret_scans,
-        op7_cover_tree, op8_bpe, op9_quality, op10_mixing, op13_decontamination)
+        op7_cover_tree, op8_bpe, op9_quality, op10_mixing, op12_conversation_trie, op13_decontamination)
 }
 
 # the mix in closed form: a source's stream is read in a circle until its target is met
@@ -115,6 +131,25 @@ p AS (SELECT d.*, t.source_size, t.target, round(t.target)::BIGINT AS want,
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, round(target, 6) AS target, CASE WHEN size = 0 THEN 0 ELSE
     (want // source_size) * size + greatest(0, least(begun + size, want % source_size) - begun) END::BIGINT AS taken FROM p""",
+    "op12_conversation_trie": r"""
+WITH t AS (SELECT conv_id, turn, md5(concat(strlen(coalesce(role, '')), ':', role, text)) AS said,
+        coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS words FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, list(said ORDER BY turn NULLS FIRST, said) AS path, list(words ORDER BY turn NULLS FIRST, said) AS words,
+        list_reduce([4294967295] || flatten(list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x), -1, -1, -1, -1, -1, -1, -1, -1])),
+            lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, (a & 1) * 3988292384) END) AS crc FROM t GROUP BY conv_id),
+r AS (SELECT c.conv_id, coalesce(b.path[1:c.h], []) || c.path[c.h + 1:] AS path, coalesce(b.words[1:c.h], []) || c.words[c.h + 1:] AS words
+    FROM (SELECT *, xor(crc, 4294967295) % 4 AS h FROM c) c LEFT JOIN c b ON b.conv_id = c.conv_id - c.conv_id % 20),
+p AS (SELECT *, unnest(range(0, len(path) + 1)) AS d FROM r),
+n AS (SELECT d AS depth, array_to_string(path[1:d], ',') AS node, any_value(path[1:d]) AS path, min(conv_id) AS conv_id, count(*)::BIGINT AS n_convs,
+        any_value(coalesce(words[nullif(d, 0)], 0)) AS words, list(conv_id ORDER BY conv_id) FILTER (d = len(path)) AS ends FROM p GROUP BY d, node),
+k AS (SELECT array_to_string(path[1:depth - 1], ',') AS node, depth - 1 AS depth, count(*)::BIGINT AS n_children FROM n WHERE depth > 0 GROUP BY ALL),
+m AS (SELECT n.*, coalesce(n_children, 0)::BIGINT AS n_children FROM n LEFT JOIN k USING (node, depth)),
+u AS (SELECT e AS depth, array_to_string(path[1:e], ',') AS node, sum((n_children = 0)::INT)::BIGINT AS n_leaves,
+        sum((n_convs - 1) * words)::BIGINT AS saved_tokens FROM (SELECT *, unnest(range(0, depth + 1)) AS e FROM m) GROUP BY ALL)
+SELECT m.conv_id, m.depth, q.conv_id AS parent_conv_id, m.n_convs, m.n_children, u.n_leaves, u.saved_tokens,
+    sha256(array_to_string(coalesce(m.ends, []), ',')) AS ends_sha256
+FROM m JOIN u ON u.node = m.node AND u.depth = m.depth
+LEFT JOIN m q ON q.depth = m.depth - 1 AND q.node = array_to_string(m.path[1:m.depth - 1], ',')""",
     "op13_decontamination": r"""
 WITH d AS (SELECT doc_id, row_number() OVER () AS r, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
         'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
