@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from llm import bpe, covertree, decontam, imatch, jaccard, licenses, lmscore, mixing, passages, prefixes, quality, secrets
+from llm import bpe, covertree, decontam, imatch, jaccard, licenses, lmscore, mixing, passages, prefixes, quality, ranked, secrets
 from llm.common import saved, shipped, table
 
 # where the public vocabulary lies on every machine
@@ -79,6 +79,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = ranked.search(ranked.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    return found.select("item_id", "rank", F.col("doc").alias("doc_id"), "score")
+
+
 def _rebuilt(found: DataFrame) -> DataFrame:
     """Paths that begin with the first h turns of the conversation at the multiple of 20 below, instead of the first h of their own."""
     heads = found.where("conv % 20 = 0").select(F.col("conv").alias("base"), F.substring("path", 1, 3 * prefixes.DIGEST).alias("head"),
@@ -112,7 +117,7 @@ def _registered(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[Sp
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: _registered(f) for f in (
         op1_lm_scoring, op2_jaccard_join, op3_fingerprints, op4_substring_dedup, op5_license_scans, op6_secret_scans,
-        op7_cover_tree, op8_bpe, op9_quality, op10_mixing, op12_conversation_trie, op13_decontamination)
+        op7_cover_tree, op8_bpe, op9_quality, op10_mixing, op11_ranked_search, op12_conversation_trie, op13_decontamination)
 }
 
 # the mix in closed form: a source's stream is read in a circle until its target is met
@@ -131,6 +136,21 @@ p AS (SELECT d.*, t.source_size, t.target, round(t.target)::BIGINT AS want,
     FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, round(target, 6) AS target, CASE WHEN size = 0 THEN 0 ELSE
     (want // source_size) * size + greatest(0, least(begun + size, want % source_size) - begun) END::BIGINT AS taken FROM p""",
+    "op11_ranked_search": r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+n AS (SELECT r, any_value(doc_id) AS doc_id, count(*)::BIGINT AS n FROM d GROUP BY r),
+a AS (SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM n),
+m AS (SELECT r, doc_id, 100 - 50 + (50 * n * docs) // terms AS m FROM n, a),
+f AS (SELECT r, term, count(*)::BIGINT AS tf FROM d GROUP BY r, term),
+w AS (SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * df + 1)::DOUBLE))::BIGINT AS w
+    FROM (SELECT term, count(*)::BIGINT AS df FROM f GROUP BY term), a),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+    FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (r) GROUP BY item_id, r, doc_id)
+SELECT item_id, rank::INT AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 50""",
     "op12_conversation_trie": r"""
 WITH t AS (SELECT conv_id, turn, md5(concat(strlen(coalesce(role, '')), ':', role, text)) AS said,
         coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS words FROM conversations WHERE conv_id IS NOT NULL),
