@@ -4,7 +4,7 @@ import duckdb
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
-from conftest import TESTDATA
+from sample_tables import TESTDATA
 from tools.check import canonical
 
 FOLDER = f"{TESTDATA}/sf0.001"

@@ -108,9 +108,9 @@ def test_clustering_without_a_target(spark, frame, schema):
 def test_a_saved_forest_scores_with_its_own_trees_and_cut(spark, frame, schema, tmp_path):
     run = train(frame, plan(frame, schema), ["isolation_forest"], {"isolation_forest": {"n_estimators": 50}})
     exports.export_pipeline(run, "isolation_forest", str(tmp_path), spark)
-    first = {r["id"]: r["cluster"] for r in exports.score_table(spark, str(tmp_path), frame).select("id", "cluster").collect()}
+    first = {r["tree"]: r["cluster"] for r in exports.score_table(spark, str(tmp_path), frame).select("tree", "cluster").collect()}
     outliers = [k for k, c in first.items() if c == -1]
     assert outliers
     # ordinary rows alone: none becomes an outlier because the others are gone
-    ordinary = frame.where(~frame["id"].isin(outliers))
+    ordinary = frame.where(~frame["tree"].isin(outliers))
     assert exports.score_table(spark, str(tmp_path), ordinary).where("cluster = -1").isEmpty()

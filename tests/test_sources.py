@@ -4,6 +4,7 @@ import pytest
 
 from colprism.sources import readers
 from colprism.sources.readers import ReadError, read_any
+from sample_tables import TREES
 
 
 def write(tmp_path, name, text):
@@ -12,65 +13,68 @@ def write(tmp_path, name, text):
     return str(path)
 
 
-def test_reads_csv_with_meta(spark, pandas_frame, tmp_path):
-    path = str(tmp_path / "sample.csv")
-    pandas_frame.to_csv(path, index=False)
-    df, meta = read_any(spark, path)
-    row = meta.first()
-    assert (row["rows"], row["format"], row["separator"], row["truncated"]) == (600, "csv", ",", False)
-    types = dict(df.dtypes)
-    assert types["spend"] == "double" and types["day"] == "timestamp" and types["clicks"] == "bigint"
-    assert df.where("blank is not null").isEmpty()
+def lines(*rows):
+    return "".join(row + "\n" for row in rows)
 
 
-def test_parquet_json_and_tsv(spark, pandas_frame, tmp_path):
-    small = pandas_frame[["id", "city", "spend"]]
-    small.to_parquet(tmp_path / "a.parquet")
-    small.to_json(tmp_path / "a.jsonl", orient="records", lines=True)
-    small.to_json(tmp_path / "a.json", orient="records")
-    small.to_csv(tmp_path / "a.tsv", sep="\t", index=False)
-    for name in ("a.parquet", "a.jsonl", "a.json", "a.tsv"):
-        df, meta = read_any(spark, str(tmp_path / name))
-        assert meta.first()["rows"] == 600 and set(df.columns) == {"id", "city", "spend"}
+@pytest.mark.parametrize("sep, suffix", [(",", "csv"), (";", "csv"), ("|", "txt"), ("\t", "tsv")])
+def test_a_table_reads_back_from_delimited_text(spark, trees, tmp_path, sep, suffix):
+    trees.to_csv(tmp_path / f"orchard.{suffix}", sep=sep, index=False)
+    df, meta = read_any(spark, str(tmp_path / f"orchard.{suffix}"))
+    told = meta.first()
+    assert (told["rows"], told["separator"], told["truncated"]) == (TREES, sep, False) and told["format"] in ("csv", suffix)
+    kinds = dict(df.dtypes)
+    assert {kinds[c] for c in ("height", "harvest")} == {"double"} and {kinds[c] for c in ("tree", "age", "sweet")} == {"bigint"}
+    assert kinds["picked"] == "timestamp" and df.where("buyer IS NOT NULL").isEmpty()
+    read = df.orderBy("tree").toPandas()
+    assert read["remark"].tolist() == trees["remark"].tolist() and read["harvest"].to_numpy() == pytest.approx(trees["harvest"].to_numpy())
 
 
-def test_unknown_extension_says_what_is_supported(spark, tmp_path):
-    with pytest.raises(ReadError, match="supported"):
-        read_any(spark, write(tmp_path, "notes.docx", "x"))
+@pytest.mark.parametrize("name, write_to", [
+    ("t.parquet", lambda t, p: t.to_parquet(p)), ("t.ndjson", lambda t, p: t.to_json(p, orient="records", lines=True)),
+    ("t.json", lambda t, p: t.to_json(p, orient="records"))])
+def test_other_formats_give_the_same_rows(spark, trees, tmp_path, name, write_to):
+    part = trees[["tree", "variety", "height"]]
+    write_to(part, tmp_path / name)
+    df, meta = read_any(spark, str(tmp_path / name))
+    assert sorted(df.columns) == ["height", "tree", "variety"] and meta.first()["rows"] == TREES
+    assert df.agg({"tree": "sum"}).first()[0] == part["tree"].sum()
 
 
-def test_nrows_marks_the_table_truncated(spark, pandas_frame, tmp_path):
-    path = str(tmp_path / "sample.csv")
-    pandas_frame.to_csv(path, index=False)
-    row = read_any(spark, path, nrows=20)[1].first()
-    assert row["rows"] == 20 and row["truncated"]
+def test_a_strange_suffix_is_refused_with_those_that_are_read(spark, tmp_path):
+    with pytest.raises(ReadError, match="supported.*parquet"):
+        read_any(spark, write(tmp_path, "drawing.svg", "<svg/>"))
 
 
-def test_duplicate_and_empty_headers_are_repaired(spark, tmp_path):
-    df, _ = read_any(spark, write(tmp_path, "dupes.csv", "a,a,,b\n1,2,,4\n5,6,,8\n"))
-    assert df.columns == ["a", "a_2", "b"]
-    assert [tuple(r) for r in df.orderBy("a").collect()] == [(1, 2, 4), (5, 6, 8)]
+def test_a_row_limit_is_kept_and_told(spark, trees, tmp_path):
+    trees.to_csv(tmp_path / "orchard.csv", index=False)
+    for wanted, cut in ((7, True), (TREES + 1, False)):
+        df, meta = read_any(spark, str(tmp_path / "orchard.csv"), nrows=wanted)
+        assert (meta.first()["rows"], meta.first()["truncated"]) == (min(wanted, TREES), cut) and df.count() == min(wanted, TREES)
 
 
-def test_semicolon_file_with_quoted_header(spark, tmp_path):
-    text = '"fixed acidity";"volatile acidity";"quality"\n7.4;0.7;5\n7.8;0.88;5\n11.2;0.28;6\n'
-    df, meta = read_any(spark, write(tmp_path, "wine.csv", text))
-    assert df.columns == ["fixed acidity", "volatile acidity", "quality"] and meta.first()["rows"] == 3
+def test_headers_are_named_apart_and_hollow_columns_go(spark, tmp_path):
+    df, _ = read_any(spark, write(tmp_path, "h.csv", lines("k, k ,Unnamed: 2,,k", "1,x,,p,7", "2,y,,q,8", "3,z,,r,9")))
+    assert df.columns == ["k", "k_2", "column_2", "k_3"]
+    assert [tuple(r) for r in df.orderBy("k").collect()] == [(1, "x", "p", 7), (2, "y", "q", 8), (3, "z", "r", 9)]
 
 
-def test_numbers_with_blank_cells_stay_numeric(spark, tmp_path):
-    df, _ = read_any(spark, write(tmp_path, "t.csv", "id,total\na,29.85\nb, \nc,1889.5\nd,108.15\n"))
-    assert dict(df.dtypes)["total"] == "double" and df.where("total is null").count() == 1
+def test_a_quoted_header_may_hold_the_separator(spark, tmp_path):
+    df, _ = read_any(spark, write(tmp_path, "q.csv", lines('"north; upper";"yield, kg"', "2;31.5", "4;28.25")))
+    assert df.columns == ["north; upper", "yield, kg"]
+    assert sorted(map(tuple, df.collect())) == [(2, 31.5), (4, 28.25)]
 
 
-def test_codes_with_leading_zeros_stay_text(spark, tmp_path):
-    df, _ = read_any(spark, write(tmp_path, "t.csv", "zip\n00123\n04567\n08901\n"))
-    assert df.dtypes == [("zip", "string")]
+def test_cells_decide_whether_a_text_column_is_a_number(spark, tmp_path):
+    rows = [f"{k}.5,{'' if k % 9 == 0 else k},{k:05d},{'n/a' if k == 3 else k}" for k in range(60)]
+    kinds = dict(read_any(spark, write(tmp_path, "n.csv", lines("plain,holes,padded,words", *rows)))[0].dtypes)
+    assert kinds == {"plain": "double", "holes": "bigint", "padded": "string", "words": "bigint"}
 
 
-def test_iso_dates_read_as_timestamps(spark, tmp_path):
-    rows = "".join("2025-01-%02d,%d\n" % (d % 28 + 1, d) for d in range(60))
-    assert dict(read_any(spark, write(tmp_path, "v.csv", "when,n\n" + rows))[0].dtypes)["when"] == "timestamp"
+def test_days_become_moments_only_if_all_of_them_are(spark, tmp_path):
+    rows = [f"2019-{k % 12 + 1:02d}-{k % 27 + 1:02d},{'later' if k == 5 else f'2019-05-{k % 27 + 1:02d}'}" for k in range(50)]
+    kinds = dict(read_any(spark, write(tmp_path, "d.csv", lines("all,most", *rows)))[0].dtypes)
+    assert (kinds["all"], kinds["most"]) == ("timestamp", "string")
 
 
 def test_quoted_line_breaks_are_kept(spark, tmp_path):
@@ -108,8 +112,8 @@ def test_long_integers_stay_exact(spark, tmp_path):
 
 
 def test_preview_is_safe_to_show(spark, frame):
-    head = readers.preview(frame, 5, ["id"])
-    assert head.count() == 5 and dict(head.dtypes)["day"] == "string"
+    head = readers.preview(frame, 5, ["tree"])
+    assert head.count() == 5 and dict(head.dtypes)["picked"] == "string"
     nan = spark.createDataFrame([(float("nan"),), (float("inf"),)], "x double")
     assert [r["x"] for r in readers.preview(nan).collect()] == [None, None]
 
