@@ -2,16 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.ml.classification import (
-    DecisionTreeClassifier, GBTClassifier, LogisticRegression, OneVsRest, RandomForestClassifier,
-)
-from pyspark.ml.regression import (
-    DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
-)
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, RandomForestRegressor
 
 from colprism.functions.fixed import MULTICLASS, REGRESSION
+from colprism.operators import boosting
 
 SEED = 0
 MAX_BINS = 64
@@ -28,27 +23,19 @@ def _plain_split(params: dict) -> None:
         raise ValueError("min_samples_split has no counterpart in MLlib, set min_samples_leaf instead")
 
 
-def make_model(algorithm: str, task: str, params: dict, rows: int, label_std: float = 1.0, validation: str | None = None):
+def boosting_settings(task: str, params: dict, classes: int) -> boosting.Settings:
+    loss = boosting.SQUARED if task == REGRESSION else boosting.SOFTMAX if task == MULTICLASS else boosting.LOGISTIC
+    return boosting.Settings(
+        loss, classes if task == MULTICLASS else 1, params["learning_rate"], params["max_iter"], params["max_leaf_nodes"],
+        params["max_depth"], params["min_samples_leaf"], params["l2_regularization"], params["early_stopping"])
+
+
+def make_model(algorithm: str, task: str, params: dict, rows: int, label_std: float = 1.0):
     """An unfitted estimator over ``features`` and ``label`` (and ``weight`` for classes)."""
     regression = task == REGRESSION
     common = {"featuresCol": "features", "labelCol": "label"}
     if not regression:
         common["weightCol"] = "weight"
-    if algorithm == "gradient_boosting":
-        if params["l2_regularization"]:
-            raise ValueError("l2_regularization has no counterpart in MLlib boosting")
-        depth = min(depth_of(params["max_depth"]), max(1, math.ceil(math.log2(params["max_leaf_nodes"]))))
-        settings = dict(common, stepSize=params["learning_rate"], maxIter=params["max_iter"], maxDepth=depth,
-                        minInstancesPerNode=params["min_samples_leaf"], maxBins=MAX_BINS, seed=SEED)
-        # a one-vs-rest split cannot carry the validation column through
-        if params["early_stopping"] and validation and task != MULTICLASS:
-            settings["validationIndicatorCol"] = validation
-        if regression:
-            return GBTRegressor(**settings)
-        boosted = GBTClassifier(**settings)
-        if task == MULTICLASS:
-            return OneVsRest(classifier=boosted, weightCol="weight", parallelism=4, featuresCol="features", labelCol="label")
-        return boosted
     if algorithm == "random_forest":
         _plain_split(params)
         settings = dict(common, numTrees=params["n_estimators"], maxDepth=depth_of(params["max_depth"]),

@@ -16,6 +16,7 @@ from colprism.functions import fixed
 from colprism.functions.columns import as_number, cell_text, col, finite, nan_to_null, physicals
 from colprism.functions.fixed import BINARY, CLUSTERING, REGRESSION
 from colprism.operators.anomalies import Forest, fit_forest, strangest_rows
+from colprism.operators.boosting import fit_boosting
 from colprism.operators.clusters import dbscan, euclidean_silhouette, fit_kmeans
 from colprism.operators.evaluate import (
     class_weights, classification_metrics, cluster_sizes, confusion, labels_preview, pinned_row, predict_at,
@@ -24,7 +25,7 @@ from colprism.operators.evaluate import (
 from colprism.operators.features import SCALED, Prepared, prepare_features, split_features
 from colprism.operators.importance import importances, permutation_importance
 from colprism.operators.sampling import cap_rows, with_draw
-from colprism.plans.models import SEED, make_model
+from colprism.plans.models import SEED, boosting_settings, make_model
 from colprism.plans.params import resolve, validate_request
 from colprism.plans.task import Plan
 from colprism.session import pin, stable
@@ -184,7 +185,8 @@ def _weighted(frame: DataFrame, balanced: bool) -> DataFrame:
 
 
 def _fit(name: str, task: str, rows: DataFrame, columns: dict, values: dict,
-         known: dict, part: str) -> tuple[PipelineModel, Prepared]:
+         known: dict, part: str, classes: int) -> tuple[PipelineModel, Prepared, object]:
+    """The pipeline, its preparation, and the model that knows which features count."""
     scale = name in SCALED
     if (part, scale) not in known:
         known[part, scale] = prepare_features(rows, columns, scale)
@@ -201,11 +203,14 @@ def _fit(name: str, task: str, rows: DataFrame, columns: dict, values: dict,
     # the vectors are read once per iteration, so they are kept
     ready = ready.select(*kept).persist()
     try:
+        if name == "gradient_boosting":
+            model = fit_boosting(ready, boosting_settings(task, values, classes), validation)
+            return PipelineModel([*prepared.stages(), *model.stages]), prepared, model
         size, std = ready.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
-        model = make_model(name, task, values, size, std, validation).fit(ready)
+        model = make_model(name, task, values, size, std).fit(ready)
     finally:
         ready.unpersist()
-    return PipelineModel([*prepared.stages(), model]), prepared
+    return PipelineModel([*prepared.stages(), model]), prepared, model
 
 
 def _probability(scored: DataFrame) -> DataFrame:
@@ -221,7 +226,7 @@ def _threshold(name, plan, train_rows, columns, values, known) -> float | None:
         return None
     redrawn = train_rows.withColumn("__redraw", F.shiftrightunsigned(F.xxhash64(F.lit(1), F.col(ID)), 11) / F.lit(float(2 ** 53)))
     fit_rows, valid_rows = train_test_split(redrawn, VALIDATION, "__redraw", "label")
-    tuned, _ = _fit(name, plan.task, fit_rows, columns, values, known, "tuning")
+    tuned, _, _ = _fit(name, plan.task, fit_rows, columns, values, known, "tuning", 2)
     scored = tuned.transform(valid_rows)
     if "probability" not in scored.columns:
         return None
@@ -237,7 +242,7 @@ def _supervise(name: str, plan: Plan, split, columns, values, labels, known) ->
     with ThreadPoolExecutor(2) as pool:
         # the model and the threshold come from separate fits, so they run side by side
         tuned = pool.submit(_threshold, name, plan, train_rows, columns, values, known)
-        pipeline, prepared = _fit(name, plan.task, train_rows, columns, values, known, "training")
+        pipeline, prepared, model = _fit(name, plan.task, train_rows, columns, values, known, "training", len(labels))
         threshold = tuned.result()
     spark = train_rows.sparkSession
     scored = pipeline.transform(test_rows)
@@ -264,7 +269,7 @@ def _supervise(name: str, plan: Plan, split, columns, values, labels, known) ->
         result.confusion = table.select(F.get(names, F.col("actual").cast("int")).alias("actual"),
                                         F.get(names, F.col("predicted").cast("int")).alias("predicted"), "count")
         result.score = result.metrics["balanced_accuracy"]
-    result.importance = importances(spark, pipeline.stages[-1], prepared.sources)
+    result.importance = importances(spark, model, prepared.sources)
     return result
 
 
