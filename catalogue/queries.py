@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from catalogue import oracle as O
 from catalogue.frames import columns_of, frame, frame_sql, table
 from colprism.functions import fixed
-from colprism.operators import anomalies, cleaning, clusters, evaluate, features, profile, quality, sampling, schema
+from colprism.operators import anomalies, boosting, cleaning, clusters, evaluate, features, profile, quality, sampling, schema, trees
 from colprism.operators.facts import column_facts
 from colprism.plans import task as tasks
 from colprism.plans import training
@@ -650,6 +650,54 @@ for _name in ("logistic_regression", "decision_tree", "random_forest", "gradient
 add("fit_gradient_boosting_multiclass", _board("orders", "o_orderstatus", ["gradient_boosting"]))
 
 
+_GRID = ("l_discount", "l_tax", "l_linenumber")
+
+
+def _grid(spark, d):
+    """Lineitems as vectors of three columns of few values, with the quantity as the number to predict."""
+    columns = F.array(*[F.col(c).cast("double") for c in _GRID])
+    return table(spark, d, "lineitem").select(array_to_vector(columns).alias("features"), F.col("l_quantity").cast("double").alias("label"))
+
+
+def _first_split(spark, tree, cuts):
+    """The split at the root and what it gives."""
+    f = tree.feature[0]
+    return spark.createDataFrame([(f, float(cuts[f][tree.cut[0]]), tree.value[tree.left[0]], tree.value[tree.right[0]])],
+                                 "feature int, cut double, left_value double, right_value double")
+
+
+def _boosted_stump(spark, d):
+    settings = boosting.Settings(boosting.SQUARED, learning_rate=0.5, rounds=1, leaves=2, l2=5.0)
+    made = boosting.fit_boosting(_grid(spark, d), settings)
+    return _first_split(spark, made.trees[0][0], made.cuts).withColumns(
+        {"loss_before": F.lit(made.losses[0][0]), "loss_after": F.lit(made.losses[1][0])})
+
+
+def _median_stump(spark, d):
+    made = trees.AbsoluteTree(1).fit(_grid(spark, d))
+    return _first_split(spark, made.tree, made.cuts)
+
+
+_TALL = " UNION ALL ".join(f"SELECT {i} AS feature, CAST({c} AS DOUBLE) AS x, CAST(l_quantity AS DOUBLE) AS y FROM lineitem" for i, c in enumerate(_GRID))
+# the best cut of all columns by a search over every one
+add("boosting_stump", _boosted_stump,
+    f"""WITH t AS ({_TALL}), m AS (SELECT avg(y) AS base FROM t WHERE feature = 0),
+    c AS (SELECT feature, x, sum(base - y) AS g, count(*) AS n FROM t, m GROUP BY feature, x),
+    w AS (SELECT feature, x AS cut, sum(g) OVER l AS gl, sum(n) OVER l AS nl, sum(g) OVER a AS ga, sum(n) OVER a AS na FROM c
+        WINDOW l AS (PARTITION BY feature ORDER BY x), a AS (PARTITION BY feature)),
+    b AS (SELECT feature, cut, -0.5 * gl / (nl + 5) AS left_value, -0.5 * (ga - gl) / (na - nl + 5) AS right_value FROM w WHERE nl < na
+        ORDER BY gl * gl / (nl + 5) + (ga - gl) * (ga - gl) / (na - nl + 5) - ga * ga / (na + 5) DESC, feature, cut LIMIT 1)
+    SELECT b.*, (SELECT avg(0.5 * (y - base) * (y - base)) FROM t, m WHERE feature = 0) AS loss_before,
+    (SELECT avg(0.5 * (y - base - CASE WHEN x <= cut THEN left_value ELSE right_value END) ** 2) FROM t, m WHERE t.feature = b.feature) AS loss_after
+    FROM b""", ["left_value", "right_value", "loss_before", "loss_after"])
+add("absolute_error_stump", _median_stump,
+    f"""WITH t AS ({_TALL}), c AS (SELECT DISTINCT feature, x AS cut FROM t),
+    s AS (SELECT feature, cut, x <= cut AS low, median(y) AS middle, list(y) AS ys FROM t JOIN c USING (feature) GROUP BY ALL),
+    e AS (SELECT feature, cut, low, middle, list_sum(list_transform(ys, lambda y: abs(y - middle))) AS error FROM s)
+    SELECT feature, cut, max(middle) FILTER (low) AS left_value, max(middle) FILTER (NOT low) AS right_value FROM e GROUP BY feature, cut
+    HAVING count(*) = 2 ORDER BY sum(error), feature, cut LIMIT 1""")
+
+
 def _importance(spark, d):
     return _run(spark, d, "part", "p_retailprice", ["ridge"]).results[0].importance
 

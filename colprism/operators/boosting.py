@@ -164,7 +164,7 @@ class Growing:
             tree.cut.append(node.cut if inner else -1)
             tree.left.append(place[node.left] if inner else -1)
             tree.right.append(place[node.right] if inner else -1)
-            tree.value.append(-self.settings.learning_rate * g / (h + self.settings.l2 + 1e-300))
+            tree.value.append(float(-self.settings.learning_rate * g / (h + self.settings.l2 + 1e-300)))
             tree.gain.append(node.gain if inner else 0.0)
         return tree
 
@@ -352,7 +352,7 @@ def bin_cuts(rows: DataFrame, size: int) -> list[np.ndarray]:
     return cuts
 
 
-def _packed(cuts: list[np.ndarray], base: np.ndarray, block_rows: int):
+def packed(cuts: list[np.ndarray], base: np.ndarray, block_rows: int):
     """Bins rows and packs them, ``block_rows`` at a time."""
     def pack(rows: pa.Table) -> pa.RecordBatch:
         rows = rows.combine_chunks()
@@ -467,8 +467,8 @@ def fit_boosting(ready: DataFrame, settings: Settings, held: str | None = None)
     base = _base(rows, settings)
     n = rows.count()
     single = n * max(1, len(cuts)) <= BLOCK_BYTES
-    packed = (rows.coalesce(1) if single else rows).mapInArrow(_packed(cuts, base, n if single else BLOCK_ROWS), BLOCK)
-    store = _Store(spark, packed, settings)
+    blocks = (rows.coalesce(1) if single else rows).mapInArrow(packed(cuts, base, n if single else BLOCK_ROWS), BLOCK)
+    store = _Store(spark, blocks, settings)
     try:
         trees, losses = store.grown_in_one_task() if single else grown(store.total, settings, store.refresh)
     finally:
@@ -514,27 +514,30 @@ def _stages(spark: SparkSession, trees: list[list[Tree]], cuts: list[np.ndarray]
     return [*models, SQLTransformer(statement=f"SELECT * EXCEPT ({raw}), {best} AS prediction FROM __THIS__")]
 
 
-def _ensemble(spark: SparkSession, trees: list[Tree], cuts: list[np.ndarray], scale: float, classes: bool):
+def java_tree(spark: SparkSession, tree: Tree, cuts: list[np.ndarray], scale: float = 1.0):
+    """MLlib's own form of a tree; it scores and saves, and has no statistics of the rows."""
     jvm, gateway = spark._jvm, spark.sparkContext._gateway
     ml = jvm.org.apache.spark.ml
-    stats = gateway.new_array(gateway.jvm.double, 3)
-    nothing = jvm.org.apache.spark.mllib.tree.impurity.VarianceCalculator(stats, 0)
+    nothing = jvm.org.apache.spark.mllib.tree.impurity.VarianceCalculator(gateway.new_array(gateway.jvm.double, 3), 0)
 
-    def node(tree: Tree, i: int):
+    def node(i: int):
         value = float(tree.value[i]) * scale
         if tree.feature[i] < 0:
             return ml.tree.LeafNode(value, 0.0, nothing)
         f = tree.feature[i]
         split = ml.tree.ContinuousSplit(f, float(cuts[f][tree.cut[i]]))
-        return ml.tree.InternalNode(value, 0.0, float(tree.gain[i]), node(tree, tree.left[i]), node(tree, tree.right[i]), split, nothing)
+        return ml.tree.InternalNode(value, 0.0, float(tree.gain[i]), node(tree.left[i]), node(tree.right[i]), split, nothing)
+
+    uid = jvm.org.apache.spark.ml.util.Identifiable.randomUID("tree")
+    return ml.regression.DecisionTreeRegressionModel(uid, node(0), len(cuts))
+
 
-    kind = ml.regression.DecisionTreeRegressionModel
-    array = gateway.new_array(kind, len(trees))
+def _ensemble(spark: SparkSession, trees: list[Tree], cuts: list[np.ndarray], scale: float, classes: bool):
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    ml = jvm.org.apache.spark.ml
+    array, weights = gateway.new_array(ml.regression.DecisionTreeRegressionModel, len(trees)), gateway.new_array(gateway.jvm.double, len(trees))
     for i, tree in enumerate(trees):
-        array[i] = kind(f"dtr_{i}", node(tree, 0), len(cuts))
-    weights = gateway.new_array(gateway.jvm.double, len(trees))
-    for i in range(len(trees)):
-        weights[i] = 1.0
+        array[i], weights[i] = java_tree(spark, tree, cuts, scale), 1.0
     uid = jvm.org.apache.spark.ml.util.Identifiable.randomUID("boosted")
     if classes:
         return GBTClassificationModel(ml.classification.GBTClassificationModel(uid, array, weights, len(cuts), 2))

@@ -7,6 +7,7 @@ from pyspark.ml.regression import DecisionTreeRegressor, LinearRegression, Rando
 
 from colprism.functions.fixed import MULTICLASS, REGRESSION
 from colprism.operators import boosting
+from colprism.operators.trees import AbsoluteTree
 
 SEED = 0
 MAX_BINS = 64
@@ -18,11 +19,6 @@ def depth_of(value: int | None) -> int:
     return min(value, DEEPEST) if value else UNLIMITED
 
 
-def _plain_split(params: dict) -> None:
-    if params.get("min_samples_split", 2) != 2:
-        raise ValueError("min_samples_split has no counterpart in MLlib, set min_samples_leaf instead")
-
-
 def boosting_settings(task: str, params: dict, classes: int) -> boosting.Settings:
     loss = boosting.SQUARED if task == REGRESSION else boosting.SOFTMAX if task == MULTICLASS else boosting.LOGISTIC
     return boosting.Settings(
@@ -37,19 +33,17 @@ def make_model(algorithm: str, task: str, params: dict, rows: int, label_std: fl
     if not regression:
         common["weightCol"] = "weight"
     if algorithm == "random_forest":
-        _plain_split(params)
         settings = dict(common, numTrees=params["n_estimators"], maxDepth=depth_of(params["max_depth"]),
                         minInstancesPerNode=params["min_samples_leaf"], featureSubsetStrategy=params["max_features"],
                         bootstrap=params["bootstrap"], maxBins=MAX_BINS, seed=SEED)
         return RandomForestRegressor(**settings) if regression else RandomForestClassifier(**settings)
     if algorithm == "decision_tree":
-        _plain_split(params)
         settings = dict(common, maxDepth=depth_of(params["max_depth"]),
                         minInstancesPerNode=params["min_samples_leaf"], maxBins=MAX_BINS, seed=SEED)
         criterion = params["criterion"]
         if regression:
             if criterion == "absolute_error":
-                raise ValueError("criterion absolute_error has no counterpart in MLlib")
+                return AbsoluteTree(depth_of(params["max_depth"]), params["min_samples_leaf"], params["min_samples_split"])
             return DecisionTreeRegressor(**settings)
         return DecisionTreeClassifier(**settings, impurity="gini" if criterion == "gini" else "entropy")
     if algorithm == "logistic_regression":

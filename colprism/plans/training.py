@@ -25,6 +25,7 @@ from colprism.operators.evaluate import (
 from colprism.operators.features import SCALED, Prepared, prepare_features, split_features
 from colprism.operators.importance import importances, permutation_importance
 from colprism.operators.sampling import cap_rows, with_draw
+from colprism.operators.trees import FittedTree, with_least_split
 from colprism.plans.models import SEED, boosting_settings, make_model
 from colprism.plans.params import resolve, validate_request
 from colprism.plans.task import Plan
@@ -208,6 +209,9 @@ def _fit(name: str, task: str, rows: DataFrame, columns: dict, values: dict,
             return PipelineModel([*prepared.stages(), *model.stages]), prepared, model
         size, std = ready.agg(F.count(F.lit(1)), F.stddev_pop("label")).first()
         model = make_model(name, task, values, size, std).fit(ready)
+        if isinstance(model, FittedTree):
+            return PipelineModel([*prepared.stages(), *model.stages]), prepared, model
+        model = with_least_split(model, values.get("min_samples_split", 2))
     finally:
         ready.unpersist()
     return PipelineModel([*prepared.stages(), model]), prepared, model
