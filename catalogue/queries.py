@@ -574,34 +574,51 @@ add("predict_at", lambda s, d: evaluate.predict_at(scored(s, d), "score", 120.0)
     f"SELECT truth, CASE WHEN score >= 120 THEN 1.0 ELSE 0.0 END AS prediction, count(*) AS count FROM {_A} GROUP BY ALL")
 
 
+def _drawn_sql(columns, copy="0", seed=0):
+    """The library's rule for drawing rows: MD5 of the content, then of key, number among equal rows, and seed."""
+    text = lambda c: f"coalesce(concat(strlen({c}::VARCHAR), ':', {c}::VARCHAR), '-')"
+    key = f"md5(concat({', '.join(text(c) for c in sorted(columns))}))"
+    return f"('0x' || substr(md5(concat_ws(':', {key}, {copy}, {seed})), 1, 13))::BIGINT / 4503599627370496.0"
+
+
+_ORDER_KEYS = ("o_orderkey", "o_custkey", "o_orderpriority")
+
+
 def _split(spark, d):
-    """Rows per class and side of a stratified split: sides differ by a row at most."""
-    df = table(spark, d, "orders")
-    drawn = stable(sampling.with_draw(df, "u").select("o_orderpriority", "u"))
+    """Every row and its side of a stratified split."""
+    drawn = stable(sampling.with_draw(table(spark, d, "orders").select(*_ORDER_KEYS), "u", rule="md5"))
     train, test = evaluate.train_test_split(drawn, 0.2, "u", "o_orderpriority")
-    sizes = lambda part, side: part.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("rows")).withColumn("side", F.lit(side))
-    return sizes(train, "train").unionByName(sizes(test, "test"))
+    return train.withColumn("side", F.lit("train")).unionByName(test.withColumn("side", F.lit("test"))).drop("u")
 
 
 add("train_test_split", _split,
-    """WITH c AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY ALL), w AS (SELECT *, ceil(0.2 * sum(n) OVER ()) AS wanted,
+    f"""WITH c AS (SELECT o_orderpriority, count(*) AS n FROM orders GROUP BY ALL), w AS (SELECT *, ceil(0.2 * sum(n) OVER ()) AS wanted,
     ceil(0.2 * sum(n) OVER ()) * n / sum(n) OVER () AS exact FROM c),
     t AS (SELECT *, floor(exact) + CASE WHEN row_number() OVER (ORDER BY floor(exact) - exact, o_orderpriority)
-    <= wanted - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS taken FROM w)
-    SELECT o_orderpriority, CAST(n - taken AS BIGINT) AS rows, 'train' AS side FROM t UNION ALL
-    SELECT o_orderpriority, CAST(taken AS BIGINT), 'test' FROM t""")
-
-
-def _sampled(spark, d):
-    """A sample of half the rows: its size and that no row is taken twice."""
-    df = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    total = df.count()
-    return sampling.sample_frame(df, total // 2).agg(F.count(F.lit(1)).alias("rows"))
-
-
-add("sample_frame", _sampled, "SELECT count(*) // 2 AS rows FROM lineitem")
-add("cap_rows", lambda s, d: sampling.cap_rows(table(s, d, "orders"), 1000)[0].agg(F.count(F.lit(1)).alias("rows")),
-    "SELECT least(count(*), 1000) AS rows FROM orders")
+    <= wanted - sum(floor(exact)) OVER () THEN 1 ELSE 0 END AS taken FROM w),
+    u AS (SELECT {', '.join(_ORDER_KEYS)}, row_number() OVER (PARTITION BY o_orderpriority ORDER BY {_drawn_sql(_ORDER_KEYS)}) AS nth FROM orders)
+    SELECT {', '.join(_ORDER_KEYS)}, CASE WHEN nth <= taken THEN 'test' ELSE 'train' END AS side FROM u JOIN t USING (o_orderpriority)""")
+
+_LINE_KEYS = ("l_orderkey", "l_linenumber", "l_partkey")
+_FEW_VALUES = ("l_linenumber", "l_returnflag")
+
+
+def _half(spark, d, columns):
+    df = table(spark, d, "lineitem").select(*columns)
+    return sampling.sample_frame(df, df.count() // 2, rule="md5")
+
+
+add("sample_frame", lambda s, d: _half(s, d, _LINE_KEYS),
+    f"""SELECT {', '.join(_LINE_KEYS)} FROM (SELECT *, row_number() OVER (ORDER BY {_drawn_sql(_LINE_KEYS, 'copy')}) AS nth FROM
+    (SELECT *, row_number() OVER (PARTITION BY {', '.join(_LINE_KEYS)}) - 1 AS copy FROM lineitem))
+    WHERE nth <= (SELECT count(*) // 2 FROM lineitem)""")
+# rows that stand many times: each copy has a draw of its own
+add("sample_repeated", lambda s, d: _half(s, d, _FEW_VALUES).groupBy(*_FEW_VALUES).agg(F.count(F.lit(1)).alias("rows")),
+    f"""WITH g AS (SELECT l_linenumber, l_returnflag, row_number() OVER (PARTITION BY l_linenumber, l_returnflag) - 1 AS copy FROM lineitem),
+    u AS (SELECT *, row_number() OVER (ORDER BY {_drawn_sql(_FEW_VALUES, 'copy')}) AS nth FROM g)
+    SELECT l_linenumber, l_returnflag, count(*) AS rows FROM u WHERE nth <= (SELECT count(*) // 2 FROM lineitem) GROUP BY ALL""")
+add("cap_rows", lambda s, d: sampling.cap_rows(table(s, d, "orders").select(*_ORDER_KEYS), 1000, rule="md5")[0],
+    f"""SELECT {', '.join(_ORDER_KEYS)} FROM (SELECT *, row_number() OVER (ORDER BY {_drawn_sql(_ORDER_KEYS)}) AS nth FROM orders) WHERE nth <= 1000""")
 add("cluster_sizes", lambda s, d: evaluate.cluster_sizes(table(s, d, "embeddings"), "label"),
     "SELECT label AS cluster, count(*) AS count FROM embeddings GROUP BY label")
 add("cluster_shares", lambda s, d: evaluate.cluster_shares(evaluate.cluster_sizes(table(s, d, "embeddings"), "label")),

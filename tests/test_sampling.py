@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 import pytest
 
+from colprism.operators import sampling
 from colprism.operators.sampling import sample_frame, with_draw
 from colprism.plans.training import _reason
 from colprism.sources import readers
@@ -46,3 +47,35 @@ def test_a_feature_may_not_be_named_like_an_internal_column(spark):
     df = spark.range(200).select(F.rand(1).alias("label"), F.rand(2).alias("a"), F.rand(3).alias("y"))
     with pytest.raises(ValueError, match="label"):
         train(df, plan(df, pin(infer_schema(df)), "y"), ["ridge"])
+
+
+def test_a_sample_scans_the_table_without_shuffling_its_rows(spark):
+    df = spark.range(5000).selectExpr("id", "repeat('x', 50) AS wide", "id % 3 AS c")
+    shuffled = []
+    seen = sampling.stable
+
+    def watched(frame):
+        shuffled.append("Exchange" in frame._jdf.queryExecution().executedPlan().toString() and "wide" in frame.columns)
+        return seen(frame)
+    sampling.stable = watched
+    try:
+        assert sample_frame(df, 700).count() == 700
+    finally:
+        sampling.stable = seen
+    assert shuffled and not any(shuffled)
+
+
+def test_copies_are_drawn_in_pieces(spark, monkeypatch):
+    df = spark.range(4000).select(F.when(F.col("id") % 4 > 0, F.lit(-1)).otherwise(F.col("id")).alias("v"))
+    whole = sorted(r.v for r in sample_frame(df, 900).collect())
+    monkeypatch.setattr(sampling, "PIECE", 7)
+    monkeypatch.setattr(sampling, "BROADCAST_KEYS", 0)
+    assert sorted(r.v for r in sample_frame(df, 900).collect()) == whole
+    assert 600 < whole.count(-1) < 750
+
+
+def test_any_kind_of_column_can_be_drawn(spark):
+    df = spark.range(60).selectExpr("map('a', id) AS m", "array(id, null) AS l", "struct(id, cast(null AS string) AS s) AS t",
+                                    "cast(cast(id AS string) AS binary) AS b", "cast('nan' AS double) AS d", "date_add(DATE'2020-01-01', cast(id AS int)) AS day")
+    assert sample_frame(df, 20).count() == 20 and sample_frame(df, 0).count() == 0
+    assert with_draw(df, "u").select("u").distinct().count() == 60
