@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from catalogue import oracle as O
 from catalogue.frames import columns_of, frame, frame_sql, table
 from colprism.functions import fixed
-from colprism.operators import anomalies, boosting, cleaning, clusters, evaluate, features, profile, quality, sampling, schema, trees
+from colprism.operators import anomalies, boosting, cleaning, clusters, density, evaluate, features, profile, quality, sampling, schema, trees
 from colprism.operators.facts import column_facts
 from colprism.plans import task as tasks
 from colprism.plans import training
@@ -748,7 +748,7 @@ add("fit_kmeans", lambda s, d: evaluate.cluster_sizes(clusters.fit_kmeans(_part_
 add("choose_k", lambda s, d: s.createDataFrame([(clusters.choose_k(_part_vectors(s, d).persist()),)], "k int"))
 add("euclidean_silhouette", lambda s, d: s.createDataFrame(
     [(clusters.euclidean_silhouette(_vectors(s, d), "label"),)], "silhouette double"))
-add("fit_dbscan", lambda s, d: clusters.dbscan(_part_vectors(s, d), "p_partkey", 0.08, 8).select("p_partkey", "cluster"))
+add("fit_dbscan", lambda s, d: density.dbscan(_part_vectors(s, d), "p_partkey", 0.08, 8).select("p_partkey", "cluster"))
 add("fit_isolation_forest", lambda s, d: anomalies.isolation_forest(_vectors(s, d), "vec_id").select("vec_id", "deviation", "cluster"))
 add("strangest_rows", lambda s, d: anomalies.strangest_rows(anomalies.isolation_forest(_part_vectors(s, d), "p_partkey"), ["p_partkey"]))
 

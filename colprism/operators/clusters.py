@@ -1,10 +1,8 @@
-"""Grouping rows: k-means with a chosen k, the Euclidean silhouette, DBSCAN."""
+"""Grouping rows: k-means with a chosen k, and the Euclidean silhouette."""
 
 from __future__ import annotations
 
-import math
 from concurrent.futures import ThreadPoolExecutor
-from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -14,9 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from colprism.functions import fixed
-from colprism.operators.ordering import running_total
 from colprism.operators.sampling import sample_frame
-from colprism.session import stable
 
 CANDIDATES = [2, 3, 4, 5, 6, 7, 8]
 
@@ -95,183 +91,3 @@ def euclidean_silhouette(labelled: DataFrame, label: str = "cluster", rows: int
     found = spark.range(0, len(x), 1, tasks).withColumnRenamed("id", "at").mapInPandas(widths, "s double").agg(F.avg("s")).first()[0]
     shared.unpersist()
     return None if found is None else round(found, 4)
-
-
-# ---------------------------------------------------------------------- dbscan
-#
-# Cells are so small that any two points of one cell are neighbours. A cell
-# with min_samples points therefore holds core points only and is one cluster
-# as it stands; its pairs are never looked at. Only points of sparse cells
-# count neighbours, and links between cells are decided on bounding boxes that
-# are split where a box cannot decide, down to single points. Work follows the
-# number of occupied cells, not the pairs of points.
-
-# most neighbour offsets enumerated per cell
-OFFSETS = 400
-
-
-def _cell_side(eps: float, dims: int, metric: str) -> float:
-    # a hair smaller, so that rounding cannot push two points of a cell apart
-    return eps / (dims if metric == "manhattan" else math.sqrt(dims)) * (1 - 1e-9)
-
-
-def _distance(a: str, b: str, metric: str):
-    """Distance between two array columns (Euclidean is squared)."""
-    step = (lambda p, q: F.abs(p - q)) if metric == "manhattan" else (lambda p, q: (p - q) * (p - q))
-    return F.aggregate(F.zip_with(a, b, step), F.lit(0.0), lambda s, v: s + v)
-
-
-def _box_gap(metric: str, nearest: bool):
-    """Smallest or largest distance between boxes a_lo..a_hi and b_lo..b_hi."""
-    if nearest:
-        apart = F.zip_with(F.zip_with("a_lo", "b_hi", lambda p, q: p - q), F.zip_with("b_lo", "a_hi", lambda p, q: p - q),
-                           lambda p, q: F.greatest(p, q, F.lit(0.0)))
-    else:
-        apart = F.zip_with(F.zip_with("a_hi", "b_lo", lambda p, q: p - q), F.zip_with("b_hi", "a_lo", lambda p, q: p - q),
-                           lambda p, q: F.greatest(p, q))
-    power = (lambda s, v: s + v) if metric == "manhattan" else (lambda s, v: s + v * v)
-    return F.aggregate(apart, F.lit(0.0), power)
-
-
-def dbscan(features: DataFrame, key: str, eps: float = 0.5, min_samples: int = 5, metric: str = "euclidean") -> DataFrame:
-    """Density clusters: the rows with ``cluster``, -1 for noise.
-
-    ``key`` must be unique. Exact for any data; clusters are numbered by size.
-    """
-    x = vector_to_array("features")
-    zero_apart = metric == "cosine" and eps < 1
-    if metric == "cosine":
-        # on the unit sphere a cosine distance of eps is a chord of sqrt(2 eps)
-        norm = F.sqrt(F.aggregate(F.transform(x, lambda v: v * v), F.lit(0.0), lambda s, v: s + v))
-        x = F.transform(x, lambda v: F.when(norm > 0, v / norm).otherwise(0.0))
-        eps, metric = math.sqrt(2 * eps), "euclidean"
-    points = features.select(F.col(key).alias("id"), x.alias("x"))
-    if zero_apart:
-        # a zero vector has cosine distance 1 to everything, so it has no neighbours
-        points = points.where(F.exists("x", lambda v: v != 0))
-    dims = len(points.select("x").first()["x"])
-    side = _cell_side(eps, dims, metric)
-    reach = eps if metric == "manhattan" else eps * eps
-    points = stable(points.withColumn("cell", F.transform("x", lambda v: F.floor(v / side))))
-
-    counted = stable(points.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.array(*[F.min(F.get("x", F.lit(i))) for i in range(dims)]).alias("lo"),
-        F.array(*[F.max(F.get("x", F.lit(i))) for i in range(dims)]).alias("hi")))
-    near = stable(_near_cells(counted, dims, reach, metric))
-
-    dense = counted.where(F.col("n") >= min_samples).select("cell")
-    sparse = points.join(counted.where(F.col("n") < min_samples).select("cell"), "cell", "left_semi")
-    core_sparse = stable(_sparse_cores(sparse, points, near, reach, metric, min_samples))
-    core = points.join(dense, "cell", "left_semi").select("id", "x", "cell").unionAll(core_sparse.select("id", "x", "cell"))
-    core = stable(core)
-    links = _linked_cells(core, near, dims, side, reach, metric)
-    groups = _components(core.select("cell").distinct(), links)
-
-    placed = core.join(groups, "cell").select("id", "root")
-    border = _border(sparse.join(core_sparse.select("id"), "id", "left_anti"), core, near, groups, reach, metric)
-    assigned = placed.unionAll(border)
-    # clusters are numbered from the largest
-    sizes = assigned.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
-    numbered = running_total(sizes, [F.desc("n"), F.asc("first")], F.lit(1), "cluster").select("root", F.col("cluster").cast("int"))
-    labelled = assigned.join(numbered, "root").select(F.col("id").alias(key), "cluster")
-    return (features.join(labelled, key, "left")
-            .withColumn("cluster", F.coalesce("cluster", F.lit(-1))))
-
-
-def _near_cells(cells: DataFrame, dims: int, reach: float, metric: str) -> DataFrame:
-    """Pairs of different occupied cells whose boxes come within reach, both ways.
-
-    Neighbour offsets are enumerated for an equi-join over as many dimensions
-    as stay cheap, the ones with the most different cells first; the boxes
-    decide the rest.
-    """
-    span = math.ceil(dims if metric == "manhattan" else math.sqrt(dims)) + 1
-    used = max(1, min(dims, int(math.log(OFFSETS) / math.log(2 * span + 1))))
-    spread = cells.agg(*[F.approx_count_distinct(F.get("cell", F.lit(i))).alias(f"d{i}") for i in range(dims)]).first()
-    leading = sorted(range(dims), key=lambda i: -spread[f"d{i}"])[:used]
-    head = F.array(*[F.get("cell", F.lit(i)) for i in leading])
-    offsets = list(product(range(-span, span + 1), repeat=used))
-    shifts = F.array(*[F.array(*[F.lit(v).cast("bigint") for v in o]) for o in offsets])
-    a = cells.select(F.col("cell").alias("a"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"), head.alias("at"), F.explode(shifts).alias("o"))
-    a = a.withColumn("head", F.zip_with("at", "o", lambda p, q: p + q)).drop("o", "at")
-    b = cells.select(F.col("cell").alias("b"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"), head.alias("head"))
-    return (a.join(b, "head").where((F.col("a") != F.col("b")) & (_box_gap(metric, True) <= reach)).select("a", "b"))
-
-
-def _sparse_cores(sparse, points, near, reach, metric, min_samples):
-    """Core points of sparse cells: fewer than min_samples points per cell ask
-    their neighbour cells, so a hot neighbour is scanned once per asking point."""
-    asking = sparse.select(F.col("id").alias("p"), F.col("x").alias("px"), "cell")
-    own = sparse.groupBy("cell").agg(F.count(F.lit(1)).alias("own"))
-    other = (asking.join(near, asking["cell"] == near["a"]).select("p", "px", F.col("b").alias("cell"))
-             .join(points.select("cell", "x"), "cell").where(_distance("px", "x", metric) <= reach)
-             .groupBy("p").agg(F.count(F.lit(1)).alias("others")))
-    return (sparse.join(own, "cell").join(other, sparse["id"] == other["p"], "left")
-            .where(F.col("own") + F.coalesce("others", F.lit(0)) >= min_samples).select("id", "x", "cell"))
-
-
-def _boxes(core: DataFrame, dims: int, width: float) -> DataFrame:
-    return (core.withColumn("sub", F.transform("x", lambda v: F.floor(v / width))).groupBy("cell", "sub").agg(
-        F.array(*[F.min(F.get("x", F.lit(i))) for i in range(dims)]).alias("lo"),
-        F.array(*[F.max(F.get("x", F.lit(i))) for i in range(dims)]).alias("hi")))
-
-
-def _linked_cells(core, near, dims, side, reach, metric):
-    """Pairs of cells that hold core points within reach of each other.
-
-    Boxes wholly within reach link, boxes wholly beyond do not, the rest is
-    split in halves per dimension; a box of one point always decides.
-    """
-    spark = core.sparkSession
-    open_pairs = stable(near.where(F.col("a") < F.col("b")).join(core.select(F.col("cell").alias("a")).distinct(), "a", "left_semi")
-                        .join(core.select(F.col("cell").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
-    linked, width, sub_pairs = None, side, None
-    while True:
-        boxes = _boxes(core, dims, width)
-        left = boxes.select(F.col("cell").alias("a"), F.col("sub").alias("a_sub"), F.col("lo").alias("a_lo"), F.col("hi").alias("a_hi"))
-        right = boxes.select(F.col("cell").alias("b"), F.col("sub").alias("b_sub"), F.col("lo").alias("b_lo"), F.col("hi").alias("b_hi"))
-        if sub_pairs is None:
-            tried = open_pairs.join(left, "a").join(right, "b")
-        else:
-            parent = lambda s: F.transform(s, lambda v: F.floor(v / 2))
-            tried = (sub_pairs.join(left.withColumn("a_up", parent("a_sub")), ["a", "a_up"])
-                     .join(right.withColumn("b_up", parent("b_sub")), ["b", "b_up"]))
-        judged = stable(tried.where(_box_gap(metric, True) <= reach)
-                        .select("a", "b", "a_sub", "b_sub", (_box_gap(metric, False) <= reach).alias("sure")))
-        sure = judged.where("sure").select("a", "b").distinct()
-        linked = sure if linked is None else linked.unionAll(sure)
-        rest = judged.where(~F.col("sure")).join(sure, ["a", "b"], "left_anti")
-        sub_pairs = stable(rest.select("a", "b", F.col("a_sub").alias("a_up"), F.col("b_sub").alias("b_up")))
-        if sub_pairs.isEmpty():
-            break
-        width = width / 2
-        core = core.join(sub_pairs.select(F.col("a").alias("cell")).unionAll(sub_pairs.select("b")).distinct(), "cell", "left_semi")
-    return stable(linked.unionAll(spark.createDataFrame([], linked.schema)))
-
-
-def _components(cells: DataFrame, links: DataFrame) -> DataFrame:
-    """Smallest cell reachable from each cell: alternating link and shortcut steps."""
-    edges = stable(links.unionAll(links.select(F.col("b"), F.col("a"))))
-    roots = stable(cells.select("cell", F.col("cell").alias("root")))
-    while True:
-        spread = (edges.join(roots, edges["b"] == roots["cell"]).select(F.col("a").alias("cell"), "root")
-                  .unionAll(roots.select("cell", "root")).groupBy("cell").agg(F.min("root").alias("root")))
-        # jump to the root of the root, which halves long chains
-        jump = roots.select(F.col("cell").alias("root"), F.col("root").alias("up"))
-        moved = stable(spread.join(jump, "root", "left").select(
-            "cell", F.least("root", F.coalesce("up", "root")).alias("root")))
-        same = moved.join(roots, ["cell", "root"], "left_anti").isEmpty()
-        roots = moved
-        if same:
-            return roots
-
-
-def _border(rest, core, near, groups, reach, metric):
-    """Non-core points next to a core point join its cluster (the smallest root)."""
-    asking = rest.select(F.col("id").alias("p"), F.col("x").alias("px"), "cell")
-    own = asking.select(F.col("cell").alias("a"), F.col("cell").alias("b")).distinct()
-    where = near.select("a", "b").unionAll(own)
-    return (asking.join(where, asking["cell"] == where["a"]).select("p", "px", F.col("b").alias("cell"))
-            .join(core.select("cell", "x"), "cell").where(_distance("px", "x", metric) <= reach)
-            .join(groups, "cell").groupBy("p").agg(F.min("root").alias("root")).select(F.col("p").alias("id"), "root"))

@@ -17,7 +17,8 @@ from colprism.functions.columns import as_number, cell_text, col, finite, nan_to
 from colprism.functions.fixed import BINARY, CLUSTERING, REGRESSION
 from colprism.operators.anomalies import Forest, fit_forest, strangest_rows
 from colprism.operators.boosting import fit_boosting
-from colprism.operators.clusters import dbscan, euclidean_silhouette, fit_kmeans
+from colprism.operators.clusters import euclidean_silhouette, fit_kmeans
+from colprism.operators.density import dbscan
 from colprism.operators.evaluate import (
     class_weights, classification_metrics, cluster_sizes, confusion, labels_preview, pinned_row, predict_at,
     regression_metrics, roc_auc, score_name, train_test_split, tune_threshold,

@@ -69,6 +69,17 @@ def stable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """Writes a table once into the shared folder and reads it from there on.
+
+    For loops: a checkpoint keeps the estimated size of what it was computed
+    from, which multiplies with every join; a file has its own.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def pin(df: DataFrame, limit: int = PIN_ROWS) -> DataFrame:
     """Compute a small result table once and keep it as a local relation.
 

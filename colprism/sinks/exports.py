@@ -13,7 +13,7 @@ from colprism.functions import fixed
 from colprism.functions.columns import as_number, cell_text, col, finite, nan_to_null, physicals
 from colprism.functions.fixed import BINARY, CLUSTERING, REGRESSION
 from colprism.operators.anomalies import Forest
-from colprism.operators.clusters import dbscan
+from colprism.operators.density import dbscan
 from colprism.operators.evaluate import classification_metrics, confusion, predict_at, regression_metrics, train_test_split
 from colprism.operators.sampling import cap_rows, with_draw
 from colprism.plans.models import SEED

@@ -3,7 +3,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from colprism.operators import anomalies, clusters
+from colprism.operators import anomalies, clusters, density
 from colprism.plans.task import plan
 from colprism.plans.training import train
 from colprism.sinks import exports
@@ -40,15 +40,16 @@ def brute_dbscan(x, eps, least, metric):
     return core, group, reach
 
 
-@pytest.mark.parametrize("dims,eps,metric", [(2, 0.25, "euclidean"), (2, 0.3, "manhattan"), (3, 0.35, "euclidean"),
-                                             (4, 0.6, "euclidean"), (2, 0.004, "cosine")])
-def test_dbscan_equals_brute_force(spark, dims, eps, metric):
+@pytest.mark.parametrize("dims,eps,metric,leaf", [(2, 0.25, "euclidean", 512), (2, 0.3, "manhattan", 8), (3, 0.35, "euclidean", 20),
+                                                  (4, 0.6, "euclidean", 5), (2, 0.004, "cosine", 16), (64, 4.6, "euclidean", 12)])
+def test_dbscan_equals_brute_force(spark, monkeypatch, dims, eps, metric, leaf):
+    monkeypatch.setattr(density, "LEAF", leaf)
     rng = np.random.default_rng(dims)
     # blobs, a bridge of points, far noise, and a third of all rows on one spot
     x = np.vstack([rng.normal(0, 0.25, (60, dims)), rng.normal(2, 0.25, (60, dims)), rng.uniform(-2, 4, (30, dims)),
                    np.linspace(0, 2, 15)[:, None] * np.ones(dims), np.full((80, dims), 0.5)])
     core, group, reach = brute_dbscan(x, eps, 5, metric)
-    found = {r["id"]: r["cluster"] for r in clusters.dbscan(
+    found = {r["id"]: r["cluster"] for r in density.dbscan(
         points(spark, x).drop("cluster"), "id", eps, 5, metric).select("id", "cluster").collect()}
     assert len(found) == len(x)
     matched = {}
@@ -61,6 +62,26 @@ def test_dbscan_equals_brute_force(spark, dims, eps, metric):
             assert (found[i] == -1) if not reach[i] else found[i] in {matched[g] for g in reach[i]}
 
 
+def test_dense_places_are_decided_by_boxes(spark, monkeypatch):
+    """Of balls narrower than the reach few leaves are compared: those that hold other spots too."""
+    monkeypatch.setattr(density, "LEAF", 16)
+    compared = []
+    monkeypatch.setattr(density, "_compared", lambda pairs, *rest, was=density._compared: compared.append(pairs.count()) or was(pairs, *rest))
+    rng = np.random.default_rng(5)
+    x = np.vstack([rng.uniform(0, 0.01, (900, 3)), rng.uniform(3, 3.01, (300, 3)), rng.uniform(8, 30, (40, 3))])
+    found = {r["id"]: r["cluster"] for r in density.dbscan(points(spark, x).drop("cluster"), "id", 0.5, 10).select("id", "cluster").collect()}
+    assert [found[i] for i in (0, 899, 900, 1199, 1200)] == [0, 0, 1, 1, -1]
+    # counting, linking and borders, each of all pairs of leaves
+    assert len(compared) == 3 and sum(compared) < 0.1 * 3 * (len(x) / 16) ** 2
+
+
+def test_dbscan_of_odd_tables(spark):
+    same = points(spark, np.ones((30, 2))).drop("cluster")
+    assert {r["cluster"] for r in density.dbscan(same, "id", 0.1, 30).collect()} == {0}
+    assert {r["cluster"] for r in density.dbscan(same, "id", 0.1, 31).collect()} == {-1}
+    assert density.dbscan(same.limit(0), "id").count() == 0
+
+
 def test_silhouette_equals_the_definition(spark):
     rng = np.random.default_rng(1)
     x = np.vstack([rng.normal(0, 1, (40, 3)), rng.normal(3, 1, (50, 3)), [[9, 9, 9]]])
