@@ -283,3 +283,30 @@ def test_stages_keep_the_columns_of_documents():
     import corpus_pipeline
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "secrets", "mixing", "encode"]
     assert secrets.KINDS[:3] == ["assign", "access", "hex"]
+
+
+@pytest.mark.parametrize("line", [20, 40, 48])
+def test_passages_around_a_common_line_are_found(documents, prose, line):
+    """80 pairs of documents share 60 words each, a line of which all of them and some others have."""
+    common, rows = prose(901, line), []
+    for i in range(80):
+        own = prose(1000 + i, 60 - line)
+        passage = own[:(60 - line) // 2] + common + own[(60 - line) // 2:]
+        for side in (0, 1):
+            rows.append((2 * i + side, " ".join([*prose(5000 + 2 * i + side, 70), *passage, *prose(7000 + 2 * i + side, 30)])))
+    rows += [(1000 + k, " ".join([*prose(9000 + k, 40), *common, *prose(9500 + k, 40)])) for k in range(20)]
+    rows += [(-1, " ".join(["early", *common])), (2000, " ".join([*common, "late"]))]
+    found = {r.doc_id: r for r in passages.deduplicate(documents(rows)).collect()}
+    hit = [any(s.start <= 70 and s.end >= 130 for s in found[i].spans) for i in range(160)]
+    assert sum(hit) >= 0.99 * len(hit)
+    assert all(not found[1000 + k].spans for k in range(20))
+
+
+def test_common_tokens_are_bounded(documents, prose, monkeypatch):
+    text = " ".join(prose(3, 30))
+    rows = [(i, " ".join([text, *prose(100 + i, 40)])) for i in range(40)]
+    tokens, classes = passages.common_tokens(documents(rows), often=10)
+    assert len(tokens) == 26 and (classes == 3).all()
+    assert len(passages.common_tokens(documents(rows), most=20)[0]) <= 20
+    monkeypatch.setattr(passages, "HELD", 50)
+    assert set(passages.common_tokens(documents(rows), often=10)[0]) <= set(tokens)
