@@ -45,6 +45,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that a table does not have: ``name``, or more underscores before it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Marks a narrow table for broadcast after counting it; a larger one is left to a shuffled join."""
     return F.broadcast(df) if df.limit(limit + 1).count() <= limit else df

@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import by_group, saved, shipped
+from llm.common import by_group, fresh, saved, shipped
 from llm.words import slices, words
 
 WINDOW = 10
@@ -183,12 +183,6 @@ class Scanner:
         return longest
 
 
-def _fresh(name: str, columns: list[str]) -> str:
-    while name.lower() in {c.lower() for c in columns}:
-        name = f"_{name}"
-    return name
-
-
 def _automata(items: DataFrame, key: str, text: str, window: int) -> tuple[DataFrame, int]:
     """(block, made): a compiled automaton for every block of items."""
     kind = items.select(items[key]).schema[0].dataType
@@ -226,7 +220,7 @@ def _scanned(docs: DataFrame, items: DataFrame, text: str, item_key: str, item_t
     shipped(docs.sparkSession)
     automata, blocks = _automata(items, item_key, item_text, window)
     kind = items.select(items[item_key]).schema[0].dataType.simpleString()
-    names = {n: _fresh(n, docs.columns) for n in ("n_words", "longest", "spans", "items", *["clean"] * clean)}
+    names = {n: fresh(n, docs.columns) for n in ("n_words", "longest", "spans", "items", *["clean"] * clean)}
     types = {"n_words": "bigint", "longest": "bigint", "spans": "array<struct<start: bigint, end: bigint>>", "items": f"array<{kind}>", "clean": "string"}
     empty = {"n_words": "0L", "longest": "0L", "spans": f"cast(array() AS {types['spans']})", "items": f"cast(array() AS {types['items']})", "clean": "''"}
     out = docs.select("*", *[F.expr(empty[n]).cast(types[n]).alias(names[n]) for n in names])

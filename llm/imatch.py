@@ -14,6 +14,7 @@ of which it holds only a term or a few, and those survive an edit elsewhere.
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -160,7 +161,7 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     ordered by the hash of their text. Columns: key, n_chars, edited, fingerprint,
     edited_fingerprint, near_edited, near_next. One row alone follows itself.
 
-    Rows are sorted in ranges of keys cut at quantiles; each range streams
+    Rows are sorted in ranges of keys cut at quantiles, of a bounded sample if keys are texts; each range streams
     through a task with one row held back, and the first row of every range is
     kept aside for the end of the range before it.
     """
@@ -169,8 +170,7 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
     rows = docs.select(docs[key].alias("key"), F.coalesce(docs[text], F.lit("")).alias("text"))
     sent = spark.sparkContext.broadcast(lexicon(rows, "text", band))
     parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    cuts = rows.agg(F.percentile_approx("key", [k / parts for k in range(1, parts)], 20 * parts).alias("c")).first().c or []
-    cuts = np.array(sorted(set(cuts)))
+    cuts = _cuts(rows, parts)
     at = spark.sparkContext.broadcast(cuts)
     rows = rows.withColumn("code", F.xxhash64("text"))
 
@@ -219,9 +219,21 @@ def edited_fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text"
             .mapInArrow(run, shape))
 
 
-def _ranges(keys: pa.Array, cuts: np.ndarray) -> np.ndarray:
+def _cuts(rows: DataFrame, parts: int) -> np.ndarray | list[str]:
+    """Sorted quantiles of the keys."""
+    if rows.schema["key"].dataType.simpleString() == "string":
+        drawn = rows.select("key").where("key IS NOT NULL").distinct().orderBy(F.xxhash64("key")).limit(50 * parts)
+        keys = sorted(r.key for r in drawn.collect())
+        return sorted({keys[k * len(keys) // parts] for k in range(1, parts)}) if keys else []
+    cuts = rows.agg(F.percentile_approx("key", [k / parts for k in range(1, parts)], 20 * parts).alias("c")).first().c or []
+    return np.array(sorted(set(cuts)))
+
+
+def _ranges(keys: pa.Array, cuts: np.ndarray | list[str]) -> np.ndarray:
     """The range of every key between sorted cuts; null keys are in the first."""
     out = np.zeros(len(keys), np.int32)
+    if isinstance(cuts, list):
+        return np.array([0 if k is None else bisect_right(cuts, k) for k in keys.to_pylist()], np.int32)
     if len(cuts):
         out[keys.is_valid().to_numpy(zero_copy_only=False)] = np.searchsorted(
             cuts, keys.drop_null().to_numpy(zero_copy_only=False), side="right")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import by_group, components, if_small, linked, saved
+from llm.common import by_group, components, fresh, if_small, linked, saved
 from llm.words import distinct, mixed, shingles, slices, words
 
 WIDTH = 5
@@ -306,9 +306,10 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
 def deduplicated(docs: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
     """``docs`` with one row of every class: that of the smallest key, then of the smallest text hash. All columns stay."""
     found = join(docs, key=key, text=text, **settings)
+    name, code = (fresh(c, docs.columns) for c in ("_key", "_code"))
     # a class whose documents all lack a key has no name; its copies share copy_of = null and a text hash each
     kept = (found.groupBy("class_id", F.when(F.col("class_id").isNull(), F.col("code")).alias("_own"))
             .agg(F.min(F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), "code")).alias("_kept"))
-            .select(F.col("_kept.key").alias("_key"), F.col("_kept.code").alias("_code")))
-    held = docs.join(if_small(kept), docs[key].eqNullSafe(F.col("_key")) & (F.xxhash64(docs[text]) == F.col("_code")))
-    return held.dropDuplicates(["_key", "_code"]).select(*[docs[c] for c in docs.columns])
+            .select(F.col("_kept.key").alias(name), F.col("_kept.code").alias(code)))
+    held = docs.join(if_small(kept), docs[key].eqNullSafe(F.col(name)) & (F.xxhash64(docs[text]) == F.col(code)))
+    return held.dropDuplicates([name, code]).select(*[docs[c] for c in docs.columns])

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from llm.common import saved
+from llm.common import fresh, saved
 
 GOLDEN = 0.6180339887498949
 # about so many slots make up a mix of any size; a block holds total / SLOTS words
@@ -156,8 +156,9 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     Rows never taken are gone; a row of size 0 is gone. All columns stay.
     """
     rows = mix(docs, key=key, text=text, source=source, **settings).rows
-    times = (rows.where("size > 0").groupBy(F.col(key).alias("_key"), F.col("text_hash").alias("_hash"), F.col("source").alias("_source"))
-             .agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("_times")).where("_times > 0"))
-    rest = docs.join(times, docs[key].eqNullSafe(times["_key"]) & docs[source].eqNullSafe(times["_source"])
-                     & (F.xxhash64(docs[text]) == times["_hash"]))
-    return rest.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_times")))).select(*[docs[c] for c in docs.columns])
+    name, code, origin, taken, nth = (fresh(c, docs.columns) for c in ("_key", "_hash", "_source", "_times", "_time"))
+    times = (rows.where("size > 0").groupBy(F.col(key).alias(name), F.col("text_hash").alias(code), F.col("source").alias(origin))
+             .agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias(taken)).where(F.col(taken) > 0))
+    rest = docs.join(times, docs[key].eqNullSafe(times[name]) & docs[source].eqNullSafe(times[origin])
+                     & (F.xxhash64(docs[text]) == times[code]))
+    return rest.withColumn(nth, F.explode(F.sequence(F.lit(1), F.col(taken)))).select(*[docs[c] for c in docs.columns])
