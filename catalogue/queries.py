@@ -748,7 +748,19 @@ add("fit_kmeans", lambda s, d: evaluate.cluster_sizes(clusters.fit_kmeans(_part_
 add("choose_k", lambda s, d: s.createDataFrame([(clusters.choose_k(_part_vectors(s, d).persist()),)], "k int"))
 add("euclidean_silhouette", lambda s, d: s.createDataFrame(
     [(clusters.euclidean_silhouette(_vectors(s, d), "label"),)], "silhouette double"))
-add("fit_dbscan", lambda s, d: density.dbscan(_part_vectors(s, d), "p_partkey", 0.08, 8).select("p_partkey", "cluster"))
+add("fit_dbscan", lambda s, d: density.dbscan(_part_vectors(s, d), "p_partkey", 0.08, 8).select("p_partkey", "cluster"),
+    """WITH RECURSIVE p AS (SELECT p_partkey AS id, (p_size - avg(p_size) OVER ()) / stddev_pop(p_size) OVER () AS x,
+        (p_retailprice - avg(p_retailprice) OVER ()) / stddev_pop(p_retailprice) OVER () AS y FROM part),
+    near AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON b.x BETWEEN a.x - 0.081 AND a.x + 0.081
+        WHERE (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 0.08 * 0.08),
+    core AS MATERIALIZED (SELECT a AS id FROM near GROUP BY a HAVING count(*) >= 8),
+    edge AS MATERIALIZED (SELECT a, b FROM near SEMI JOIN core ca ON ca.id = a SEMI JOIN core cb ON cb.id = b),
+    reach(id, name) USING KEY (id) AS (SELECT id, id FROM core UNION
+        SELECT e.b, min(r.name) FROM reach r JOIN edge e ON e.a = r.id JOIN recurring.reach k ON k.id = e.b WHERE r.name < k.name GROUP BY e.b),
+    joined AS (SELECT id, name FROM reach UNION ALL
+        SELECT n.a, min(r.name) FROM near n JOIN reach r ON r.id = n.b ANTI JOIN core c ON c.id = n.a GROUP BY n.a),
+    numbered AS (SELECT name, row_number() OVER (ORDER BY count(*) DESC, name) - 1 AS cluster FROM joined GROUP BY name)
+    SELECT p.id AS p_partkey, coalesce(cluster, -1)::INT AS cluster FROM p LEFT JOIN joined USING (id) LEFT JOIN numbered USING (name)""")
 add("fit_isolation_forest", lambda s, d: anomalies.isolation_forest(_vectors(s, d), "vec_id").select("vec_id", "deviation", "cluster"))
 add("strangest_rows", lambda s, d: anomalies.strangest_rows(anomalies.isolation_forest(_part_vectors(s, d), "p_partkey"), ["p_partkey"]))
 
