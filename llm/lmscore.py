@@ -16,12 +16,14 @@ there are; other words are one word, "unknown". Neither words nor bigrams are
 gathered: texts are cut into slices, every slice asks for the totals of its
 distinct words and then of its distinct bigrams, packed by hash into homes of
 about ``HOME`` questions each, and sums the losses of its own texts. A hot word
-or bigram is one question per slice. Words and bigrams are known by 64-bit hashes.
+or bigram is one question per slice. An answer is what other slices add, mostly
+nothing. Questions grow with slices times homes only until each holds one.
+Words and bigrams are known by 64-bit hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,7 +41,8 @@ ALPHA = 0.5
 MU = 8.0
 START, UNKNOWN = 0, 1  # in the place of a word's hash
 HOME = 1 << 20         # questions answered together
-SLICE = 2 << 20        # bytes of text
+SLICE = 8 << 20        # bytes of text asked for together
+PART = 2 << 20         # bytes of text split into words at a time
 
 
 def with_target(docs: DataFrame, marks: DataFrame) -> DataFrame:
@@ -108,8 +111,10 @@ def sums(docs: DataFrame, least: int = LEAST) -> Sums:
     return Sums(tuple(texts), tuple(row[:2]), tuple(row[2:4]), row[4] + 1)
 
 
-CELLS = ["words", "target", "n", "at", "bounds", "marked"]
-ASKED = "home bigint, slice bigint, " + ", ".join(f"{c} binary" for c in CELLS)
+CELLS = ["words", "at", "bounds", "marked"]
+SLICED = "slice bigint, " + ", ".join(f"{c} binary" for c in CELLS)
+ASKED = "home bigint, slice bigint, hashes binary, target binary, n binary"
+WORDS, PAIRS = 0, 1   # what an answer is about
 
 
 def score(docs: DataFrame, marks: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
@@ -126,12 +131,14 @@ def score(docs: DataFrame, marks: DataFrame, key: str = "doc_id", text: str = "t
                        marks.select(F.col(key).alias("doc_id")))
     model = sums(rows.select("text", "target"), least)
     homes = -(-model.tokens[1] // HOME) or 1
-    shape = f"{ASKED}, keys array<{kind}>"
-    cut = saved(rows.mapInArrow(_slices, shape), "lm-slices")
-    told = cut.unionByName(_totals(cut, homes, _words_of), allowMissingColumns=True)
-    known = saved(by_group(told, ["slice"], ["home"], lambda group: _known(group, homes, least), shape), "lm-known")
-    told = known.unionByName(_totals(known, homes, _pairs_of), allowMissingColumns=True)
-    summed = by_group(told, ["slice"], ["home"], lambda group: _gathered(group, homes, model),
+    cut = saved(rows.mapInArrow(_slices, f"{SLICED}, keys array<{kind}>"), "lm-slices")
+    asked = cut.select("slice", *CELLS).mapInArrow(lambda batches: _asked_words(batches, homes), ASKED)
+    words_told = saved(_answered(asked).withColumn("about", F.lit(WORDS)), "lm-words")
+    known = cut.select("slice", *CELLS).unionByName(words_told, allowMissingColumns=True)
+    asked = by_group(known, ["slice"], ["home"], lambda group: _asked_pairs(group, homes, least), ASKED)
+    told = words_told.unionByName(_answered(asked).withColumn("about", F.lit(PAIRS)))
+    summed = by_group(cut.unionByName(told, allowMissingColumns=True), ["slice"], ["home"],
+                      lambda group: _gathered(group, homes, least, model),
                       f"doc_id {kind}, n_tokens bigint, target_loss double, background_loss double")
     return summed.select(F.col("doc_id").alias(key), "n_tokens", "target_loss", "background_loss",
                          (F.col("target_loss") - F.col("background_loss")).alias("score"))
@@ -142,15 +149,15 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     task, nth = TaskContext.get().partitionId(), 0
     for batch in batches:
         for part in slices(batch, size=SLICE):
-            found = words(part.column("text"))
-            own, at = np.unique(found.hashes, return_inverse=True)
+            found = [words(piece.column("text")) for piece in slices(part, size=PART)]
+            own, at = np.unique(np.concatenate([f.hashes for f in found]), return_inverse=True)
+            tokens = np.concatenate([np.diff(f.bounds) for f in found])
             marked = part.column("target").to_numpy(zero_copy_only=False).astype(np.uint8)
-            cells = [own, None, None, at.astype(np.int32), found.bounds.astype(np.int64), marked]
+            cells = [own, at.astype(np.int32), np.concatenate([[0], np.cumsum(tokens)]).astype(np.int64), marked]
             named = pa.ListArray.from_arrays(pa.array([0, part.num_rows], pa.int32()), part.column("doc_id"))
             yield pa.RecordBatch.from_arrays(
-                [pa.array([None], pa.int64()), pa.array([task << 32 | nth], pa.int64()),
-                 *[pa.array([None if c is None else _packed(c)], pa.binary()) for c in cells], named],
-                ["home", "slice", *CELLS, "keys"])
+                [pa.array([task << 32 | nth], pa.int64()), *[pa.array([_packed(c)], pa.binary()) for c in cells], named],
+                ["slice", *CELLS, "keys"])
             nth += 1
 
 
@@ -169,49 +176,66 @@ def _read(rows: pa.Table | pa.RecordBatch, k: int, name: str, kind: type) -> np.
     return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
 
 
-def _words_of(batch: pa.RecordBatch | pa.Table, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct words of a slice, and which of them every token is."""
-    return _read(batch, k, "words", np.uint64), _read(batch, k, "at", np.int32)
+@dataclass
+class Slice:
+    """words: the distinct words; at: which of them every token is; bounds: of the texts' tokens; marked: tokens of target texts."""
+
+    words: np.ndarray
+    at: np.ndarray
+    bounds: np.ndarray
+    marked: np.ndarray
+
+    @staticmethod
+    def read(rows: pa.Table | pa.RecordBatch, k: int) -> Slice:
+        bounds = _read(rows, k, "bounds", np.int64)
+        return Slice(_read(rows, k, "words", np.uint64), _read(rows, k, "at", np.int32), bounds,
+                     np.repeat(_read(rows, k, "marked", np.uint8), np.diff(bounds)))
+
+    def counts(self, at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of target texts and of all texts by thing, for the things ``at`` of the tokens."""
+        return np.bincount(at, self.marked, size).astype(np.int64), np.bincount(at, minlength=size).astype(np.int64)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct bigrams, and which of them ends at every token."""
+        w = self.words[self.at]
+        h = np.empty_like(w)
+        h[1:] = w[:-1]
+        h[self.bounds[:-1][np.diff(self.bounds) > 0]] = START
+        return np.unique(mixed(mixed(h, 31) + w, 32), return_inverse=True)
 
 
-def _pairs_of(batch: pa.RecordBatch | pa.Table, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct bigrams of a slice, and which of them ends at every token."""
-    own, at = _words_of(batch, k)
-    bounds = _read(batch, k, "bounds", np.int64)
-    w = own[at]
-    h = np.empty_like(w)
-    h[1:] = w[:-1]
-    h[bounds[:-1][np.diff(bounds) > 0]] = START
-    return np.unique(mixed(mixed(h, 31) + w, 32), return_inverse=True)
+def _questions(number: int, things: np.ndarray, counts: tuple[np.ndarray, np.ndarray], homes: int) -> list[pa.Array]:
+    """A slice's things and its own counts of them, a row per home."""
+    order, home = _homes(things, homes)
+    at_home = np.flatnonzero(np.diff(home, prepend=-1))
+    spans = list(zip(at_home, [*at_home[1:], len(things)]))
+    cells = [[_packed(np.diff(things[order][a:b], prepend=np.uint64(0))) for a, b in spans],
+             *[[_packed(c.astype(np.int32)[order][a:b]) for a, b in spans] for c in counts]]
+    return [pa.array(home[at_home], pa.int64()), pa.array([number] * len(at_home), pa.int64()), *[pa.array(c, pa.binary()) for c in cells]]
 
 
-def _totals(slices_: DataFrame, homes: int, things: Callable) -> DataFrame:
-    """(home, slice, target, n): the totals, over all slices, of a slice's ``things`` in the order of home and hash."""
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(batch.num_rows):
-                own, at = things(batch, k)
-                marked = np.repeat(_read(batch, k, "marked", np.uint8), np.diff(_read(batch, k, "bounds", np.int64)))
-                counts = [np.bincount(at, marked, len(own)).astype(np.int32), np.bincount(at, minlength=len(own)).astype(np.int32)]
-                order, home = _homes(own, homes)
-                at_home = np.flatnonzero(np.diff(home, prepend=-1))
-                spans = list(zip(at_home, [*at_home[1:], len(own)]))
-                cells = [[_packed(np.diff(own[order][a:b], prepend=np.uint64(0))) for a, b in spans],
-                         *[[_packed(c[order][a:b]) for a, b in spans] for c in counts]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(home[at_home], pa.int64()), pa.array([batch.column("slice")[k].as_py()] * len(at_home), pa.int64()),
-                     *[pa.array(c, pa.binary()) for c in cells]], ["home", "slice", "words", "target", "n"])
+ASKED_NAMES = ["home", "slice", "hashes", "target", "n"]
+
 
+def _asked_words(batches: Iterator[pa.RecordBatch], homes: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            own = Slice.read(batch, k)
+            rows = _questions(batch.column("slice")[k].as_py(), own.words, own.counts(own.at, len(own.words)), homes)
+            yield pa.RecordBatch.from_arrays(rows, ASKED_NAMES)
+
+
+def _answered(asked: DataFrame) -> DataFrame:
+    """(home, slice, target, n): what all other slices count of a slice's things, in the order of home and hash."""
     def answer(group: pa.Table) -> pa.Table:
-        keys = [np.cumsum(_read(group, k, "words", np.uint64), dtype=np.uint64) for k in range(group.num_rows)]
+        keys = [np.cumsum(_read(group, k, "hashes", np.uint64), dtype=np.uint64) for k in range(group.num_rows)]
         target, n = (np.concatenate([_read(group, k, c, np.int32) for k in range(group.num_rows)]) for c in ("target", "n"))
         ends = np.cumsum([len(x) for x in keys])[:-1]
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
-        cells = [[_packed(x) for x in np.split(np.bincount(at, c).astype(np.int64)[at], ends)] for c in (target, n)]
+        cells = [[_packed(x) for x in np.split(np.bincount(at, c).astype(np.int64)[at] - c, ends)] for c in (target, n)]
         return pa.table([group.column("home"), group.column("slice"), *[pa.array(c, pa.binary()) for c in cells]],
                         ["home", "slice", "target", "n"])
 
-    asked = slices_.select("slice", *CELLS).mapInArrow(ask, "home bigint, slice bigint, words binary, target binary, n binary")
     return by_group(asked, ["home"], ["slice"], answer, "home bigint, slice bigint, target binary, n binary")
 
 
@@ -222,42 +246,45 @@ def _homes(own: np.ndarray, homes: int) -> tuple[np.ndarray, np.ndarray]:
     return order, home[order]
 
 
-def _told(group: pa.Table, own: np.ndarray, homes: int) -> tuple[np.ndarray, np.ndarray]:
-    """Target and all totals of a slice's things, from the answers of all homes."""
-    answers = group.filter(pc.is_valid(group.column("home"))).combine_chunks()
+def _totals(group: pa.Table, about: int, things: np.ndarray, counts: tuple[np.ndarray, np.ndarray], homes: int) -> tuple[np.ndarray, ...]:
+    """Target and all totals of a slice's things: its own counts and the answers of all homes."""
+    answers = group.filter(pc.fill_null(pc.equal(group.column("about"), about), False)).combine_chunks()
     by, out = np.argsort(answers.column("home").to_numpy()), []
-    for c in ("target", "n"):
-        out.append(np.zeros(len(own), np.int64))
+    for c, own in zip(("target", "n"), counts):
+        out.append(own.copy())
         if len(by):
-            out[-1][_homes(own, homes)[0]] = np.concatenate([_read(answers, int(k), c, np.int64) for k in by])
+            out[-1][_homes(things, homes)[0]] += np.concatenate([_read(answers, int(k), c, np.int64) for k in by])
     return tuple(out)
 
 
-def _known(group: pa.Table, homes: int, least: int) -> pa.Table:
-    """A slice with the totals of its words, of which rare ones become the unknown word."""
-    row = group.filter(pc.is_null(group.column("home"))).combine_chunks()
-    own = _read(row, 0, "words", np.uint64)
-    target, n = _told(group, own, homes)
-    for name, cell in (("words", np.where(n >= least, own, np.uint64(UNKNOWN))), ("target", target), ("n", n)):
-        row = row.set_column(row.schema.get_field_index(name), name, pa.array([_packed(cell)], pa.binary()))
-    return row
+def _known(group: pa.Table, homes: int, least: int) -> tuple[pa.Table, Slice, tuple[np.ndarray, ...]]:
+    """A slice whose rare words have become the unknown word, and the totals of its words."""
+    row = group.filter(pc.is_null(group.column("about"))).combine_chunks()
+    own = Slice.read(row, 0)
+    totals = _totals(group, WORDS, own.words, own.counts(own.at, len(own.words)), homes)
+    own.words = np.where(totals[1] >= least, own.words, np.uint64(UNKNOWN))
+    return row, own, totals
+
+
+def _asked_pairs(group: pa.Table, homes: int, least: int) -> pa.Table:
+    row, own, _ = _known(group, homes, least)
+    pairs, pair = own.pairs()
+    return pa.table(_questions(row.column("slice")[0].as_py(), pairs, own.counts(pair, len(pairs)), homes), ASKED_NAMES)
 
 
-def _gathered(group: pa.Table, homes: int, model: Sums) -> pa.Table:
+def _gathered(group: pa.Table, homes: int, least: int, model: Sums) -> pa.Table:
     """The texts of a slice with the means of their tokens' losses."""
-    row = group.filter(pc.is_null(group.column("home"))).combine_chunks()
-    own, at = _words_of(row, 0)
-    bounds = _read(row, 0, "bounds", np.int64)
-    pairs, pair = _pairs_of(row, 0)
-    tokens = np.diff(bounds)
+    row, own, totals = _known(group, homes, least)
+    pairs, pair = own.pairs()
+    tokens = np.diff(own.bounds)
     doc = np.repeat(np.arange(len(tokens)), tokens)
     columns = []
-    for k, (name, joint) in enumerate(zip(("target", "n"), _told(group, pairs, homes))):
-        count = np.where(own == UNKNOWN, model.unknown[k], _read(row, 0, name, np.int64)).astype(float)
-        w = count[at]
+    for k, joint in enumerate(_totals(group, PAIRS, pairs, own.counts(pair, len(pairs)), homes)):
+        count = np.where(own.words == UNKNOWN, model.unknown[k], totals[k]).astype(float)
+        w = count[own.at]
         h = np.empty_like(w)
         h[1:] = w[:-1]
-        h[bounds[:-1][tokens > 0]] = model.texts[k]
+        h[own.bounds[:-1][tokens > 0]] = model.texts[k]
         p = (w + ALPHA) / (model.tokens[k] + ALPHA * model.size)
         total = np.bincount(doc, -np.log((joint[pair] + MU * p) / (h + MU)), len(tokens))
         columns.append(pa.array(total / np.maximum(tokens, 1), mask=tokens == 0))
