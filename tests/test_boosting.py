@@ -134,3 +134,19 @@ def test_a_saved_model_scores_alike(spark, tmp_path):
     again = PipelineModel.load(str(tmp_path / "model")).transform(rows)
     assert again.columns == ["features", "label", "weight", "prediction"]
     assert sorted(map(tuple, again.select("label", "prediction").collect())) == sorted(map(tuple, made.transform(rows).select("label", "prediction").collect()))
+
+
+def test_the_driver_gets_splits_and_no_histograms(spark, monkeypatch):
+    import pickle
+    monkeypatch.setattr(boosting, "BLOCK_BYTES", 0)
+    monkeypatch.setattr(boosting, "BLOCK_ROWS", 50)
+    sent, total = [], boosting._Store.total
+
+    def watched(store, asked):
+        found = total(store, asked)
+        sent.append(len(pickle.dumps(found)))
+        return found
+    monkeypatch.setattr(boosting._Store, "total", watched)
+    x, y, w = planted(5, 400, 3)
+    model = fit_boosting(as_rows(spark, x, y, w), Settings(SOFTMAX, 3, rounds=2, leaves=4, least=10))
+    assert len(model.trees) == 2 and max(sent) < 6_000
