@@ -302,6 +302,36 @@ def test_passages_around_a_common_line_are_found(documents, prose, line):
     assert all(not found[1000 + k].spans for k in range(20))
 
 
+def test_documents_between_the_smallest_and_largest_of_a_meeting_are_compared(documents, prose):
+    """Two near copies of 120 words, among 30 documents that have 40 words of them only, smaller and larger ones."""
+    passage = prose(1, 120)
+    rows = [(i, " ".join([*prose(100 + i, 40), *passage[40:80], *prose(200 + i, 40)])) for i in [*range(15), *range(50, 65)]]
+    for i, edits in ((20, (10, 60)), (21, (100,)), (22, (30, 90))):
+        text = list(passage)
+        for k in edits:
+            text[k] = f"edit{i}x{k}"
+        rows.append((i, " ".join([*prose(300 + i, 30), *text, *prose(400 + i, 30)])))
+    for most in (2, 8, 100):
+        found = defaultdict(set)
+        for r in passages.repeats(documents(rows), most=most).collect():
+            found[r.doc].add(r.other)
+        assert found == {20: {21, 22}, 21: {20, 22}, 22: {20, 21}}
+
+
+def test_edited_copies_of_a_common_passage_are_found(documents, prose):
+    """20 documents each have an edit of their own in the middle of one passage of 60 words, which two others have as it is."""
+    passage = prose(1, 60)
+    rows = []
+    for i in range(22):
+        text = list(passage)
+        if i not in (7, 15):
+            text[25 + i % 10] = f"edit{i}"
+        rows.append((i, " ".join([*prose(100 + i, 50), *text, *prose(300 + i, 50)])))
+    found = {r.doc_id: r for r in passages.deduplicate(documents(rows)).collect()}
+    for i in range(22):
+        assert [(s.start, s.end) for s in found[i].spans] == [(50, 110)]
+
+
 def test_common_tokens_are_bounded(documents, prose, monkeypatch):
     text = " ".join(prose(3, 30))
     rows = [(i, " ".join([text, *prose(100 + i, 40)])) for i in range(40)]
