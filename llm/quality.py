@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from llm.common import fresh
 from llm.words import distinct, shingles, slices, words
 
 PASSAGE = 64          # words
@@ -24,6 +25,7 @@ SAMPLE_DOCS = 4_000   # most labelled documents the model is fitted on, drawn by
 SAMPLE_PASSAGES = 64  # most passages of one of them, spread evenly
 HIDDEN, GATES = 16, 8
 EPOCHS = 300
+SLICE = 1 << 20        # bytes of text whose features are made together, which bounds the arrays of a task
 REJECT_BELOW = 0.3
 
 _CLASSES = [b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz", b"0123456789", b".,;:'\"-()", b"#$%&*@^~", b"|<>{}[]\\/_=+`", b"!?"]
@@ -166,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, size=SLICE):
                 x, bounds = passages(part.column("text"))
                 bags = [x[a:b] if b - a <= SAMPLE_PASSAGES else x[np.linspace(a, b - 1, SAMPLE_PASSAGES).astype(int)]
                         for a, b in zip(bounds, bounds[1:])]
@@ -186,32 +188,36 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     return fit(np.concatenate(bags), bounds, (rows["label"].to_numpy() == 1).astype(float))
 
 
-def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: list[str] = ()) -> DataFrame:
-    """(key, ``keep`` columns, score) for every row, each on its own; the score uses the text only.
-
-    A null text counts as empty and is scored too; without a model every score
-    is 0.5. Null and repeated keys keep their rows; other columns are left out.
-    """
+def _scored(rows: DataFrame, model: Model | None, text: int, drop: bool, name: str = "score") -> DataFrame:
+    """``rows`` with a score of the column at ``text``, which crosses to the tasks once and comes back unless it is dropped."""
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    kept = [k for k in range(len(rows.columns)) if not drop or k != text]
+    names = [*[rows.columns[k] for k in kept], name]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "_text"):
-                x, bounds = passages(part.column("_text"))
+            for part in slices(batch, text, SLICE):
+                x, bounds = passages(part.column(text))
                 scores = model.score(x, bounds) if model and part.num_rows else np.full(part.num_rows, 0.5)
-                rest = [n for n in part.schema.names if n != "_text"]
-                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in rest], pa.array(scores, pa.float64())],
-                                                 [*rest, "score"])
+                yield pa.RecordBatch.from_arrays([*[part.column(k) for k in kept], pa.array(scores, pa.float64())], names)
+
+    return rows.mapInArrow(run, StructType([*[rows.schema.fields[k] for k in kept], StructField(name, DoubleType())]))
 
+
+def score(docs: DataFrame, model: Model | None, key: str = "doc_id", text: str = "text", keep: list[str] = ()) -> DataFrame:
+    """(key, ``keep`` columns, score) for every row, each on its own; the score uses the text only.
+
+    A null text counts as empty and is scored too; without a model every score
+    is 0.5. Null and repeated keys keep their rows; other columns are left out.
+    """
     rows = docs.select(docs[key].alias(key), *[docs[c] for c in keep], docs[text].alias("_text"))
-    shape = StructType([*rows.schema.fields[:-1], StructField("score", DoubleType())])
-    return rows.mapInArrow(run, shape)
+    return _scored(rows, model, len(rows.columns) - 1, True)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", least: float = REJECT_BELOW,
              **settings) -> DataFrame:
     """``docs`` without the documents scored below ``least``; all columns and repeated rows stay."""
     model = train(docs, labels, key, text, **settings)
-    held = docs.withColumn("_row", F.struct(*[docs[c] for c in docs.columns]))
-    kept = score(held, model, key, text, ["_row"]).where(F.col("score") >= least)
-    return kept.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+    told = fresh("_score", docs.columns)
+    return _scored(docs, model, docs.columns.index(text), False, told).where(F.col(told) >= least).select(*docs.columns)

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -226,6 +227,24 @@ def test_classifier_finds_bad_passages_in_held_out_documents(documents, spark, p
     assert kept.columns == docs.columns and 215 <= kept.count() <= 240
 
 
+def test_accepting_documents_sends_each_text_once_and_holds_few_arrays(documents, spark, prose):
+    rows, labels = _labelled(prose)
+    docs = documents(rows)
+    kept = quality.accepted(docs, spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int"))
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "struct(" not in plan
+    batch = pa.RecordBatch.from_arrays([pa.array([" ".join(prose(i, 300)) for i in range(400)] * 5)], ["text"])
+    assert batch.nbytes > 4 << 20
+    for part in quality.slices(batch, size=quality.SLICE):
+        quality.passages(part.column("text"))
+        break
+    tracemalloc.start()
+    for part in quality.slices(batch, size=quality.SLICE):
+        quality.passages(part.column("text"))
+    assert tracemalloc.get_traced_memory()[1] < 100 << 20
+    tracemalloc.stop()
+
+
 def test_classifier_learns_nothing_from_held_out_labels(documents, spark, prose):
     rows, labels = _labelled(prose)
     flipped = [(i, 1 - q if zlib.crc32(str(i).encode()) % 5 == 0 else q, t) for i, q, t in labels]
