@@ -7,8 +7,9 @@ Large cells are cut into blocks. Every block gets a cover tree of nested levels
 with halving radii: a node's children are its own centre and points more than
 the next radius from each other. A pair of blocks is compared from the roots
 down; a pair of nodes goes on only if the distance of their centres is at most
-the threshold plus both covering radii, the true ones of the nodes' points.
-What is left of points is compared in double precision.
+the threshold plus both covering radii, the true ones of the nodes' points. A
+level with nearly as many nodes as points is not visited. What is left of
+points is compared in double precision.
 """
 
 from __future__ import annotations
@@ -32,6 +33,10 @@ PIVOT_ROWS = 4096
 PIVOTS = 64
 RADII = [2.0, 1.0, 0.5, 0.25, 0.125]
 SLACK = 1e-9
+# a level is visited if it has so many times fewer pairs of nodes than there are pairs of points
+WORTH = 4
+# up to this share of pairs left, they are compared one by one, otherwise as a matrix product
+SPARSE = 0.002
 
 
 def units(raw: list[bytes], kind: str) -> np.ndarray:
@@ -111,8 +116,11 @@ def dual(x: np.ndarray, x_path: np.ndarray, y: np.ndarray, y_path: np.ndarray, t
     for level in range(len(RADII)):
         a, ra, a_node = _covers(x, x_path, level)
         b, rb, b_node = _covers(y, y_path, level)
+        if level and WORTH * len(a) * len(b) > len(x) * len(y):
+            # nearly as many nodes as points: comparing nodes costs what comparing the points does
+            break
         alive = alive[a_of[a][:, None], b_of[b]]
-        if alive.mean() > 0.05:
+        if alive.mean() > SPARSE:
             away = np.sqrt(np.maximum(0, 2 - 2 * (x[a] @ y[b].T)))
             alive &= away <= reach + ra[:, None] + rb
         else:
@@ -123,7 +131,7 @@ def dual(x: np.ndarray, x_path: np.ndarray, y: np.ndarray, y_path: np.ndarray, t
         if not alive.any():
             return np.zeros((len(x), len(y)), bool)
     close = alive[a_of[:, None], b_of]
-    if close.mean() > 0.05:
+    if close.mean() > SPARSE:
         return close & (x @ y.T >= threshold)
     i, j = np.nonzero(close)
     close[i, j] = np.einsum("ij,ij->i", x[i], y[j]) >= threshold

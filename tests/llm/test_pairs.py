@@ -106,6 +106,19 @@ def test_cover_tree_equals_brute_force(spark, monkeypatch):
     assert covertree.join(table.limit(0)).count() == 0
 
 
+def test_spread_blocks_are_compared_without_visiting_their_points_at_every_level(monkeypatch):
+    """In many dimensions every point is a node of its own; the pairs found are those of brute force."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(150, 64))
+    x = np.concatenate([x, x[:40] + rng.normal(0, 0.3, (40, 64))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    path, levels = covertree.tree(x), []
+    covers = covertree._covers
+    monkeypatch.setattr(covertree, "_covers", lambda *of: levels.append(of[-1]) or covers(*of))
+    assert (covertree.dual(x, path, x, path, 0.9) == (x @ x.T >= 0.9)).all()
+    assert len(levels) < 2 * len(covertree.RADII)
+
+
 def test_tree_covers_and_nests():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(300, 4))
