@@ -64,6 +64,11 @@ def by_group(df: DataFrame, keys: list[str], sort: list[str], act: Callable[[pa.
 
     Keys must have a bounded number of rows: callers split large groups first.
     """
+    return acted(df.repartition(*keys), keys, sort, act, schema)
+
+
+def acted(df: DataFrame, keys: list[str], sort: list[str], act: Callable[[pa.Table], pa.Table | None], schema: str) -> DataFrame:
+    """The same where the rows of a key already stand in one partition."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest = None
         for batch in batches:
@@ -78,7 +83,7 @@ def by_group(df: DataFrame, keys: list[str], sort: list[str], act: Callable[[pa.
         if rest is not None and rest.num_rows:
             yield from _acted(rest, _cuts(rest, keys), act)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *sort).mapInArrow(run, schema)
+    return df.sortWithinPartitions(*keys, *sort).mapInArrow(run, schema)
 
 
 def _cuts(rows: pa.Table, keys: list[str]) -> list[int]:

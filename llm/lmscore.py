@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from llm.common import by_group, if_small, saved
+from llm.common import acted, by_group, if_small, saved
 from llm.words import mixed, slices, words
 
 LEAST = 2
@@ -114,7 +114,6 @@ def sums(docs: DataFrame, least: int = LEAST) -> Sums:
 CELLS = ["words", "at", "bounds", "marked"]
 SLICED = "slice bigint, " + ", ".join(f"{c} binary" for c in CELLS)
 ASKED = "home bigint, slice bigint, hashes binary, target binary, n binary"
-WORDS, PAIRS = 0, 1   # what an answer is about
 
 
 def score(docs: DataFrame, marks: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST) -> DataFrame:
@@ -133,13 +132,14 @@ def score(docs: DataFrame, marks: DataFrame, key: str = "doc_id", text: str = "t
     homes = -(-model.tokens[1] // HOME) or 1
     cut = saved(rows.mapInArrow(_slices, f"{SLICED}, keys array<{kind}>"), "lm-slices")
     asked = cut.select("slice", *CELLS).mapInArrow(lambda batches: _asked_words(batches, homes), ASKED)
-    words_told = saved(_answered(asked).withColumn("about", F.lit(WORDS)), "lm-words")
-    known = cut.select("slice", *CELLS).unionByName(words_told, allowMissingColumns=True)
-    asked = by_group(known, ["slice"], ["home"], lambda group: _asked_pairs(group, homes, least), ASKED)
-    told = words_told.unionByName(_answered(asked).withColumn("about", F.lit(PAIRS)))
-    summed = by_group(cut.unionByName(told, allowMissingColumns=True), ["slice"], ["home"],
-                      lambda group: _gathered(group, homes, least, model),
-                      f"doc_id {kind}, n_tokens bigint, target_loss double, background_loss double")
+    words_told = saved(_answered(asked), "lm-words")
+    # slices with the answers about their words are shuffled once, for the questions about bigrams and for the losses
+    known = cut.unionByName(words_told, allowMissingColumns=True).repartition("slice")
+    asked = acted(known, ["slice"], ["home"], lambda group: _asked_pairs(group, homes, least), ASKED)
+    pairs_told = _answered(asked)
+    summed = known.groupBy("slice").cogroup(pairs_told.groupBy("slice")).applyInArrow(
+        lambda group, pairs: _gathered(group, pairs, homes, least, model),
+        f"doc_id {kind}, n_tokens bigint, target_loss double, background_loss double")
     return summed.select(F.col("doc_id").alias(key), "n_tokens", "target_loss", "background_loss",
                          (F.col("target_loss") - F.col("background_loss")).alias("score"))
 
@@ -246,9 +246,9 @@ def _homes(own: np.ndarray, homes: int) -> tuple[np.ndarray, np.ndarray]:
     return order, home[order]
 
 
-def _totals(group: pa.Table, about: int, things: np.ndarray, counts: tuple[np.ndarray, np.ndarray], homes: int) -> tuple[np.ndarray, ...]:
+def _totals(answers: pa.Table, things: np.ndarray, counts: tuple[np.ndarray, np.ndarray], homes: int) -> tuple[np.ndarray, ...]:
     """Target and all totals of a slice's things: its own counts and the answers of all homes."""
-    answers = group.filter(pc.fill_null(pc.equal(group.column("about"), about), False)).combine_chunks()
+    answers = answers.combine_chunks()
     by, out = np.argsort(answers.column("home").to_numpy()), []
     for c, own in zip(("target", "n"), counts):
         out.append(own.copy())
@@ -259,9 +259,10 @@ def _totals(group: pa.Table, about: int, things: np.ndarray, counts: tuple[np.nd
 
 def _known(group: pa.Table, homes: int, least: int) -> tuple[pa.Table, Slice, tuple[np.ndarray, ...]]:
     """A slice whose rare words have become the unknown word, and the totals of its words."""
-    row = group.filter(pc.is_null(group.column("about"))).combine_chunks()
+    told = pc.is_valid(group.column("home"))
+    row = group.filter(pc.invert(told)).combine_chunks()
     own = Slice.read(row, 0)
-    totals = _totals(group, WORDS, own.words, own.counts(own.at, len(own.words)), homes)
+    totals = _totals(group.filter(told), own.words, own.counts(own.at, len(own.words)), homes)
     own.words = np.where(totals[1] >= least, own.words, np.uint64(UNKNOWN))
     return row, own, totals
 
@@ -272,14 +273,14 @@ def _asked_pairs(group: pa.Table, homes: int, least: int) -> pa.Table:
     return pa.table(_questions(row.column("slice")[0].as_py(), pairs, own.counts(pair, len(pairs)), homes), ASKED_NAMES)
 
 
-def _gathered(group: pa.Table, homes: int, least: int, model: Sums) -> pa.Table:
+def _gathered(group: pa.Table, pairs_told: pa.Table, homes: int, least: int, model: Sums) -> pa.Table:
     """The texts of a slice with the means of their tokens' losses."""
     row, own, totals = _known(group, homes, least)
     pairs, pair = own.pairs()
     tokens = np.diff(own.bounds)
     doc = np.repeat(np.arange(len(tokens)), tokens)
     columns = []
-    for k, joint in enumerate(_totals(group, PAIRS, pairs, own.counts(pair, len(pairs)), homes)):
+    for k, joint in enumerate(_totals(pairs_told, pairs, own.counts(pair, len(pairs)), homes)):
         count = np.where(own.words == UNKNOWN, model.unknown[k], totals[k]).astype(float)
         w = count[own.at]
         h = np.empty_like(w)

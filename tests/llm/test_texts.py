@@ -192,6 +192,14 @@ def test_losses_do_not_depend_on_slices_and_homes(documents, spark, prose, monke
     assert found[0] == found[1]
 
 
+def test_slices_of_texts_are_shuffled_once(documents, spark, prose):
+    marks = spark.createDataFrame([(1,)], "doc_id bigint")
+    found = lmscore.score(documents([(i, " ".join(prose(i, 50))) for i in range(20)]), marks)
+    assert found.count() == len(found.collect()) == 20
+    plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan and plan.count("Scan parquet") == 2
+
+
 def test_words_keep_their_counts_however_many_there_are(documents, spark):
     """A word of two in more than a million tokens is no unknown word."""
     rows = [(1, "rare rare"), (2, "once"), (3, "twice"), (4, "a " * 2_200_000)]
