@@ -19,6 +19,7 @@ from llm.common import saved, shipped, table
 from llm.queries import VOCABULARY
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+HELD = 100_000  # words that a task knows; workers keep them while other stages run
 
 
 def _quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def _mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids (little-endian unsigned 32-bit integers), a row per copy that the mix took."""
     shipped(spark)
-    ids = bpe.encode(docs, VOCABULARY)
+    ids = bpe.encode(docs, VOCABULARY, held=HELD)
     return ids.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids",
                       F.sha2("ids", 256).alias("ids_sha256"))
 

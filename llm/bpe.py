@@ -32,7 +32,7 @@ from llm.words import slices
 # the pre-split of byte-level vocabularies (a fixed value of the format)
 PATTERN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 
-# tables that grow with the words seen are emptied beyond these sizes; this changes no result
+# tables that grow with the words seen are emptied beyond these sizes, or fewer that a caller asks for; this changes no result
 STATES = 400_000
 WORDS = 400_000
 
@@ -47,7 +47,8 @@ def _alphabet() -> dict[str, int]:
 class Automaton:
     """Compiled from a tokenizers file of byte-level BPE without normalizer, prefix space or dropout."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, held: int = WORDS):
+        self.held = held
         with open(path, encoding="utf-8") as file:
             found = json.load(file)
         byte_of, vocab = _alphabet(), found["model"]["vocab"]
@@ -128,7 +129,7 @@ class Automaton:
         return found
 
     def word(self, word: bytes) -> list[int]:
-        if len(self.last) > STATES or len(self.known) > STATES:
+        if max(len(self.last), len(self.known)) > min(STATES, self.held):
             self._clear()
         state, path, step, last, known = 0, [0], self.step, self.last, self.known
         for k, byte in enumerate(word):
@@ -197,8 +198,9 @@ class Chunks(dict):
 class Encoder:
     """Encodes and decodes texts with one automaton and what it has seen so far."""
 
-    def __init__(self, path: str):
-        self.automaton = Automaton(path)
+    def __init__(self, path: str, held: int = WORDS):
+        self.held = held
+        self.automaton = Automaton(path, held)
         self.pieces = Pieces(self.automaton)
         self.chunks = Chunks(self.pieces)
 
@@ -210,7 +212,7 @@ class Encoder:
             at = match.end()
         parts.append(self._plain(text[at:] if at else text))
         for seen in (self.pieces, self.chunks):
-            if len(seen) > WORDS:
+            if len(seen) > min(WORDS, self.held):
                 seen.clear()
         return b"".join(parts)
 
@@ -227,17 +229,17 @@ class Encoder:
         return b"".join(map(labels.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, held: int = WORDS) -> Encoder:
     """One per worker process; compiling takes about a second."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    if (path, held) not in _encoders:
+        _encoders[path, held] = Encoder(path, held)
+    return _encoders[path, held]
 
 
-def encode(docs: DataFrame, path: str, decoded: bool = False, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, path: str, decoded: bool = False, key: str = "doc_id", text: str = "text", held: int = WORDS) -> DataFrame:
     """(key, ids binary) for every row, and with ``decoded`` the decoded text beside it.
 
     ids holds little-endian unsigned 32-bit integers. Strings of special tokens
@@ -245,11 +247,12 @@ def encode(docs: DataFrame, path: str, decoded: bool = False, key: str = "doc_id
     to the empty text; null and repeated keys keep their rows; other columns
     are left out whatever their names. ``path`` must name the file on every
     executor. Texts are never cut; no row meets another, so nothing is shuffled.
+    A task keeps what it knows of about ``held`` words: fewer cost time, and no result.
     """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made = encoder(path)
+        made = encoder(path, held)
         for batch in batches:
             for part in slices(batch, "text"):
                 ids = [made.encode(t) if t else b"" for t in part.column("text").to_pylist()]

@@ -42,6 +42,7 @@ TIGHT = 0.5
 BLOCK = 1024
 # min-hash agreement this many standard deviations under the threshold still makes a candidate
 SIGMAS = 4.0
+SLICE = 1 << 20     # bytes of text whose shingles are made together, which bounds the arrays of a task
 
 
 def runs_for(threshold: float, recall: float, fan: int = FAN) -> int:
@@ -63,25 +64,25 @@ def _class(values: np.ndarray) -> bytes:
 def signatures(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """(doc_id, code, cls, size, sig): class key, number of distinct shingles and min-hashes of every text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                values, bounds = _sets(part.column("text"), width)
-                full = np.flatnonzero(np.diff(bounds))
-                sig = np.zeros((part.num_rows, COORDINATES), np.uint32)
-                for k in range(COORDINATES if len(full) else 0):
-                    # a multiplication by an odd number and the upper bits order shingles anew
-                    turned = (values * np.uint64(int(_ODD[k]))) >> np.uint64(32)
-                    sig[full, k] = np.minimum.reduceat(turned, bounds[full])
-                cls = [_class(values[a:b]) for a, b in zip(bounds, bounds[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("code"), pa.array(cls, pa.binary()),
-                     pa.array(np.diff(bounds)), pa.array([s.tobytes() for s in sig], pa.binary())],
-                    ["doc_id", "code", "cls", "size", "sig"])
-
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("code"))
-    return rows.mapInArrow(run, f"doc_id {kind}, code bigint, cls binary, size bigint, sig binary")
+    return rows.mapInArrow(lambda batches: _signed(batches, width), f"doc_id {kind}, code bigint, cls binary, size bigint, sig binary")
+
+
+def _signed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in slices(batch, size=SLICE):
+            values, bounds = _sets(part.column("text"), width)
+            full = np.flatnonzero(np.diff(bounds))
+            sig = np.zeros((part.num_rows, COORDINATES), np.uint32)
+            for k in range(COORDINATES if len(full) else 0):
+                # a multiplication by an odd number and the upper bits order shingles anew
+                turned = (values * np.uint64(int(_ODD[k]))) >> np.uint64(32)
+                sig[full, k] = np.minimum.reduceat(turned, bounds[full])
+            cls = [_class(values[a:b]) for a, b in zip(bounds, bounds[1:])]
+            yield pa.RecordBatch.from_arrays(
+                [part.column("doc_id"), part.column("code"), pa.array(cls, pa.binary()),
+                 pa.array(np.diff(bounds)), pa.array([s.tobytes() for s in sig], pa.binary())],
+                ["doc_id", "code", "cls", "size", "sig"])
 
 
 _ODD = mixed(np.arange(COORDINATES, dtype=np.uint64), 41) | np.uint64(1)
@@ -249,6 +250,17 @@ def _verified(threshold: float):
     return act
 
 
+def _reread(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The shingles of the texts whose classes are compared."""
+    for batch in batches:
+        for part in slices(batch, size=SLICE):
+            values, bounds = _sets(part.column("text"), width)
+            yield pa.RecordBatch.from_arrays(
+                [part.column("want"), part.column("copies"),
+                 pa.array([values[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())],
+                ["cls", "copies", "shingles"])
+
+
 def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, width: int = WIDTH, key: str = "doc_id",
          text: str = "text") -> DataFrame:
     """A row per document: key, code (hash of the text), class_id, copy_of, n_links, n_linked_texts.
@@ -279,16 +291,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL,
     texts = (rows.join(wanted, rows["doc_id"].eqNullSafe(F.col("k")) & (F.xxhash64(rows["text"]) == F.col("c")))
              .select("want", "copies", "text"))
 
-    def reread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                values, bounds = _sets(part.column("text"), width)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("want"), part.column("copies"),
-                     pa.array([values[a:b].tobytes() for a, b in zip(bounds, bounds[1:])], pa.binary())],
-                    ["cls", "copies", "shingles"])
-
-    sets = texts.mapInArrow(reread, "cls binary, copies bigint, shingles binary").dropDuplicates(["cls"])
+    sets = texts.mapInArrow(lambda batches: _reread(batches, width), "cls binary, copies bigint, shingles binary").dropDuplicates(["cls"])
     checked = saved(by_group(found.join(sets, "cls"), ["node", "i", "j"], [], _verified(threshold),
                              "a binary, b binary, links bigint, texts bigint"), "jaccard-links")
     links = checked.where("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"), F.sum("texts").alias("texts"))

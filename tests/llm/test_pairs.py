@@ -1,9 +1,11 @@
 """Operators on pairs and whole tables against brute force, and the pipeline."""
 
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +62,19 @@ def test_jaccard_join_equals_brute_force(documents, prose, monkeypatch, small):
     assert "cls" in kept.columns and kept.count() == len(set(group))
 
 
+def test_shingles_are_made_of_few_texts_at_a_time(prose):
+    texts = [" ".join(prose(i, 300)) for i in range(400)] * 5
+    n = len(texts)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), *[pa.array(np.arange(n))] * 4], ["text", "doc_id", "code", "want", "copies"])
+    assert batch.nbytes > 4 << 20
+    for run in (jaccard._signed, jaccard._reread):
+        next(run(iter([batch]), 5))
+        tracemalloc.start()
+        assert sum(part.num_rows for part in run(iter([batch]), 5)) == n
+        assert tracemalloc.get_traced_memory()[1] < 40 << 20
+        tracemalloc.stop()
+
+
 def test_runs_reach_the_recall():
     assert jaccard.runs_for(0.8, 0.9999) >= jaccard.runs_for(0.9, 0.9999) >= 1
     assert jaccard.runs_for(0.5, 0.99, 3) > jaccard.runs_for(0.8, 0.99, 3)

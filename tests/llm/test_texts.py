@@ -192,6 +192,15 @@ def test_losses_do_not_depend_on_slices_and_homes(documents, spark, prose, monke
     assert found[0] == found[1]
 
 
+def test_tokens_do_not_depend_on_how_many_words_are_known(prose):
+    texts = [" ".join(prose(i, 60)) + f" {i * 7919} Zz{i}é" for i in range(100)]
+    few, all_ = bpe.Encoder(PATH, 50), bpe.Encoder(PATH)
+    for text in texts:
+        assert few.encode(text) == all_.encode(text)
+        assert max(map(len, (few.pieces, few.chunks))) <= 50
+    assert len(all_.pieces) > 50
+
+
 def test_slices_of_texts_are_shuffled_once(documents, spark, prose):
     marks = spark.createDataFrame([(1,)], "doc_id bigint")
     found = lmscore.score(documents([(i, " ".join(prose(i, 50))) for i in range(20)]), marks)
