@@ -368,3 +368,70 @@ def test_common_tokens_are_bounded(documents, prose, monkeypatch):
     assert len(passages.common_tokens(documents(rows), most=20)[0]) <= 20
     monkeypatch.setattr(passages, "HELD", 50)
     assert set(passages.common_tokens(documents(rows), often=10)[0]) <= set(tokens)
+
+
+def test_all_copies_of_a_text_are_counted(documents, prose):
+    """15 copies of a text, one row more of the key of another, and two documents that hold a part of it."""
+    text, short = prose(1, 80), " ".join(prose(2, 49))
+    rows = [(i, " ".join(text)) for i in range(10, 25)] + [(i, short) for i in range(30, 40)] + [(40, " ".join(text)), (40, " ".join(prose(3, 60)))]
+    rows += [(i, " ".join([*prose(100 + i, 30), *text[10:70], *prose(200 + i, 30)])) for i in (5, 50)]
+    found = {r.doc_id: r for r in passages.deduplicate(documents(rows)).collect()}
+    for i in [*range(10, 25), 40, 5, 50]:
+        assert found[i].n_others == 17 and found[i].first_id == 5
+    assert all([tuple(s) for s in found[i].spans] == [(0, 80)] for i in range(10, 25))
+    assert [tuple(s) for s in found[10].cuts] == [(10, 70)] and all([tuple(s) for s in found[i].cuts] == [(0, 80)] for i in [*range(11, 25), 40])
+    assert [tuple(s) for s in found[50].cuts] == [(30, 90)] and found[5].cuts == []
+    assert all(found[i].n_others == 0 and found[i].spans == [] and found[i].first_id == i for i in range(30, 40))
+
+
+def test_passages_of_two_texts_equal_all_intervals_tried(monkeypatch):
+    rng, n_found = np.random.default_rng(4), 0
+    for trial in range(150):
+        monkeypatch.setattr(passages, "PAIRS", (1 << 20, 32)[trial % 2])
+        monkeypatch.setattr(passages, "MANY", (16, 2)[trial % 3 == 0])
+        kinds, least, threshold = int(rng.integers(2, 40)), int(rng.integers(3, 14)), (0.5, 0.8)[trial % 2]
+        own, other = (rng.integers(0, kinds, int(rng.integers(5, 45))).astype(np.uint32) for _ in range(2))
+        half = min(len(own), len(other)) // 2
+        other[:half] = own[:half]
+        if trial % 3 == 0:
+            own = np.sort(own)
+        want = []
+        a, b, c, d = passages.diagonals(own, *passages.ranked(other))
+        for i in range(len(a)):
+            for e in np.lexsort((-d, -b)):
+                x, y = set(own[a[i]:b[e] + 1].tolist()), set(other[c[i]:d[e] + 1].tolist())
+                if (b[e] - a[i] + 1 >= least and d[e] - c[i] + 1 >= least and len(x & y) >= threshold * len(x | y)
+                        and not any(p <= a[i] and b[e] <= q and r <= c[i] and d[e] <= s for p, q, r, s in want)):
+                    want.append((int(a[i]), int(b[e]), int(c[i]), int(d[e])))
+                    break
+        if not (len(own) == len(other) and (own == other).all()):
+            assert sorted(passages.alike(own, other, least, threshold)) == sorted(want)
+            n_found += len(want)
+    assert n_found > 200
+
+
+def test_cells_bound_what_a_task_compares(spark, monkeypatch):
+    monkeypatch.setattr(passages, "CELL", 50)
+    monkeypatch.setattr(passages, "CELL_DOCS", 20)
+    pairs = spark.createDataFrame([(i, j, 0, 9, 0) for i in range(40) for j in range(i)] + [(9, 8, 0, 9, 7)],
+                                  "doc bigint, other bigint, low int, high int, home bigint")
+    cells = passages._cells(pairs).collect()
+    assert sorted((r.doc, r.other) for r in cells if r.home == 0) == sorted((i, j) for i in range(40) for j in range(i))
+    sizes = Counter((r.home, r.cell) for r in cells)
+    assert len(sizes) > 10 and max(sizes.values()) <= 120 and sizes[7, 0] == 1
+
+
+def test_meetings_dealt_over_tasks_lose_no_pair(documents, prose, monkeypatch):
+    """30 edited copies of a passage in a meeting, whose open documents go to tasks by twos and whose pairs to cells of ten."""
+    passage = prose(1, 100)
+    rows = []
+    for i in range(30):
+        text = list(passage)
+        text[20 + i] = f"edit{i}"
+        text[60 + i] = f"more{i}"
+        rows.append((i, " ".join([*prose(100 + i, 30), *text, *prose(300 + i, 30)])))
+    want = {(r.doc, r.other) for r in passages.repeats(documents(rows), most=3).collect()}
+    monkeypatch.setattr(passages, "OPEN", 2)
+    monkeypatch.setattr(passages, "CELL", 10)
+    monkeypatch.setattr(passages, "CELL_DOCS", 10)
+    assert {(r.doc, r.other) for r in passages.repeats(documents(rows), most=3).collect()} == want and len(want) > 100
