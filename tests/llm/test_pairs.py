@@ -422,7 +422,7 @@ def test_cells_bound_what_a_task_compares(spark, monkeypatch):
 
 
 def test_meetings_dealt_over_tasks_lose_no_pair(documents, prose, monkeypatch):
-    """30 edited copies of a passage in a meeting, whose open documents go to tasks by twos and whose pairs to cells of ten."""
+    """30 edited copies of a passage in a meeting, whose open documents go to tasks by twos and whose pairs to cells of ten, with no broadcast."""
     passage = prose(1, 100)
     rows = []
     for i in range(30):
@@ -434,4 +434,5 @@ def test_meetings_dealt_over_tasks_lose_no_pair(documents, prose, monkeypatch):
     monkeypatch.setattr(passages, "OPEN", 2)
     monkeypatch.setattr(passages, "CELL", 10)
     monkeypatch.setattr(passages, "CELL_DOCS", 10)
+    monkeypatch.setattr(passages, "PLACES", 5)
     assert {(r.doc, r.other) for r in passages.repeats(documents(rows), most=3).collect()} == want and len(want) > 100
