@@ -371,11 +371,13 @@ def test_common_tokens_are_bounded(documents, prose, monkeypatch):
 
 
 def test_all_copies_of_a_text_are_counted(documents, prose):
-    """15 copies of a text, one row more of the key of another, and two documents that hold a part of it."""
+    """15 copies of a text, one row more of the key of another, and two documents that hold a part of it; 15 copies of another text."""
     text, short = prose(1, 80), " ".join(prose(2, 49))
     rows = [(i, " ".join(text)) for i in range(10, 25)] + [(i, short) for i in range(30, 40)] + [(40, " ".join(text)), (40, " ".join(prose(3, 60)))]
     rows += [(i, " ".join([*prose(100 + i, 30), *text[10:70], *prose(200 + i, 30)])) for i in (5, 50)]
+    rows += [(i, " ".join(prose(9, 80))) for i in range(60, 75)]
     found = {r.doc_id: r for r in passages.deduplicate(documents(rows)).collect()}
+    assert all(found[i].n_others == 14 and found[i].first_id == 60 for i in range(60, 75))
     for i in [*range(10, 25), 40, 5, 50]:
         assert found[i].n_others == 17 and found[i].first_id == 5
     assert all([tuple(s) for s in found[i].spans] == [(0, 80)] for i in range(10, 25))
